@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (
+  select doc_id, array_to_string(w[p : p + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as p from d where len(w) >= 5)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as materialized (
+  select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach as (select doc_id as x, doc_id as y from d union select r.x, l.y from reach r join links l on r.y = l.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.y) as component_id
+from d left join n using (doc_id) join reach r on r.x = d.doc_id group by d.doc_id, n.n
+""",
     "op2_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, unnest(range(1, len(w) - 11)) as p, w from d where len(w) >= 13),
