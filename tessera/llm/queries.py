@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup
+from . import embedding_dedup, ngram_join, substring_dedup
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,28 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+with recursive e as (select vec_id, list_transform(embedding, lambda x : x::double) as v from embeddings),
+n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x : x * x))) as l from e),
+links as materialized (
+  select a.vec_id as x, b.vec_id as y from n a join n b on a.vec_id <> b.vec_id
+  where a.l > 0 and b.l > 0 and list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.95),
+reach as (select vec_id as x, vec_id as y from e union select r.x, l.y from reach r join links l on r.y = l.x),
+c as (select x as vec_id, min(y) as component_id from reach group by x),
+d as (select x as vec_id, count(*) as n_links from links group by x)
+select c.vec_id, coalesce(d.n_links, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept from c left join d using (vec_id)
+""",
     "op4_ngram_jaccard": r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, g from (
