@@ -43,6 +43,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial from prefix sums, then mixed."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
 @dataclass
 class Words:
     """Words of several documents: byte bounds, and per document the range of its words."""
@@ -56,10 +64,7 @@ class Words:
         data = self.data
         if lower:
             data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        return span_hashes(data, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
