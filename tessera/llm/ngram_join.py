@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     key = ["sig_a", "sig_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = cut(classes)
-    posted = cut(postings(docs, reps.where("rep is not null").select(F.col("rep").alias("doc_id")), k, percent, doc_id, text))
+    posted = cut(postings(docs, reps.where("rep is not null").select(F.col("rep").alias("doc_id")), k, percent, doc_id, text), release=True)
     joined = components(links(posted, percent), "x", "y")
     # Rows that repeat an id tie their classes together.
     placed = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

@@ -160,7 +160,7 @@ def learn_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.01, del
     """One row per stratum with a bin per rule (null: never fires). labels: doc_id, quality."""
     held = counted.where(~base_failed()).join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
     bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES))).alias("b")
-    counts = held.select("stratum", "quality", bins).groupBy("stratum", "b.rule", "b.bin").agg(F.count_if("quality = 1").alias("good"), F.count_if("quality <> 1").alias("bad"))
+    counts = held.select("stratum", "quality", bins).groupBy("stratum", "b.rule", "b.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     strata = counts.agg(F.greatest(F.lit(1), F.count_distinct("stratum")).alias("strata"))
     counts = counts.crossJoin(F.broadcast(strata))  # one row
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +22,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and drop its lineage.
 
-    Shuffle files of the finished plan are released once their Java and Python handles are collected.
+    With `release`, wait for the shuffle files of the finished plan to go: Spark removes them once the
+    handles on both sides are collected, which takes a few turns of its cleaner.
     """
     ensure_checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    done.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(4 if release else 0):
+        gc.collect()
+        done.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return done
 
 

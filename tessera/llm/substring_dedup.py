@@ -261,7 +261,7 @@ def removed_spans(occurrences: DataFrame, k: int = 13) -> DataFrame:
 def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) for each row of docs."""
     blocks, _ = X.plan_blocks(docs, text)
-    spans = removed_spans(cut(path_occurrences(docs, k, m, doc_id, text)), k)
+    spans = removed_spans(cut(path_occurrences(docs, k, m, doc_id, text), release=True), k)
 
     def cover(group: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts = X.ordered(group)
