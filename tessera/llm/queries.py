@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, url_filter
+from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
+from .learning import fold
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,32 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.withColumn("held_out", fold("doc_id", folds) == held)
+
+
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnt = quality_pu.fit(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    scored = _judged(quality_pu.score(docs, learnt), 5, 0)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learnt = language_id.fit(docs.where(fold("doc_id", 4) != 2))
+    return _judged(language_id.predict(docs, learnt), 4, 2).select("doc_id", "held_out", "lang_pred", "score", F.size("mixture").alias("n_languages"))
+
+
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = docs.where(fold("doc_id", 5) != 0)
+    languages = language_id.fit(train)
+    net = toxicity.fit(train, labels.where(fold("doc_id", 5) != 0), languages)
+    scored = _judged(toxicity.score(docs, net, languages), 5, 0)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -56,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_pattern_packing": op5_pattern_packing,
+    "op6_quality_pu": op6_quality_pu,
+    "op7_language_mixture": op7_language_mixture,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
