@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +34,24 @@ def plan_blocks(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return max(LEAST, -(-volume // BLOCK_BYTES)), max(LEAST, -(-volume // (BYTES_PER_HASH * HASHES_PER_RANGE)))
 
 
-def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """block, doc_id and text of each row; other columns that are to come along as a struct `rest`."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
+        *([F.struct(*(F.col(c) for c in rest)).alias("rest")] if rest else []),
     )
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    """Sorted by id, then text; rows equal in both may stand either way round."""
+    return group.take(pc.sort_indices(group.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def ordered(group: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray]:
     """A block's ids and texts in an order that does not depend on how its rows arrived; null ids last."""
-    group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    group = in_order(group)
     ids = group["doc_id"].fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
     return ids, group["text"]
 

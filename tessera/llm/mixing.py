@@ -56,12 +56,18 @@ def uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40) * 0.998 + 0.001
 
 
+def _tie(docs: DataFrame) -> Column:
+    """128 bits of a row's columns (maps, which have no order, excepted)."""
+    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t]
+    return F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *reversed(plain)).alias("b"))
+
+
 def sample(
     docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 13, cell_rows: int = 20000, doc_id: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for each row of docs; also `tie`, which
     tells rows of one id apart."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_column(text).cast("long").alias("size"), F.xxhash64(*docs.columns).alias("tie"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_column(text).cast("long").alias("size"), _tie(docs).alias("tie"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     planned = targets(sizes, weights, share, cap)
     largest = sizes.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
@@ -88,11 +94,14 @@ def sample(
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs themselves, each as often as sampled."""
-    columns = docs.columns
-    copies = sample(docs, doc_id=doc_id, text=text, source=source, **options).where("copies > 0")
-    # Rows equal in every column are exchangeable: their copies are added up and dealt to one of them.
-    copies = copies.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"))
-    tied = docs.withColumn("_tie", F.xxhash64(*columns)).dropDuplicates([doc_id, "_tie"])
-    out = tied.join(copies, tied[doc_id].eqNullSafe(copies["_id"]) & (tied["_tie"] == copies["_tie"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(tied[c] for c in columns))
+    """The rows of docs themselves, each as often as sampled.
+
+    Rows equal in every column are exchangeable: their copies are added up and dealt out evenly.
+    """
+    copies = sample(docs, doc_id=doc_id, text=text, source=source, **options)
+    copies = copies.groupBy(F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    one = Window.partitionBy("_tie").orderBy(F.lit(0))
+    rows = docs.withColumn("_tie", _tie(docs)).withColumn("_row", F.row_number().over(one)).join(copies, "_tie")
+    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    rows = rows.withColumn("_times", times).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)

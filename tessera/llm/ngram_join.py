@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -247,3 +247,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     placed = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(placed, key, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest id.
+
+    Of rows that repeat an id, the first by text stays; rows without an id all stay.
+    """
+    placed = near_duplicates(docs, k, percent, doc_id, text)
+    stay = placed.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    first = Window.partitionBy(doc_id).orderBy(text)
+    kept = docs.join(stay, doc_id, "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

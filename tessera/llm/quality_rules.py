@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, small
 from .textkernel import chunks, find_words, grams, inside, mix, span_hashes
 
 U = np.uint64
@@ -191,5 +191,25 @@ def judge(
     counted = cut(features(docs, doc_id, text, stratum))
     cutoffs = learn_cutoffs(counted, labels, risk, delta, price)
     fired = F.array_compact(F.array(*(F.when(_bin(r) >= F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
-    out = counted.join(cutoffs, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("reasons", fired)
+    out = counted.join(small(cut(cutoffs)), "stratum", "left").withColumn("base_failed", base_failed()).withColumn("reasons", fired)
     return out.select("doc_id", *COUNTS, "base_failed", "reasons", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
+    """The rows of docs that are kept. Texts are measured where they lie and never shuffled."""
+    known = labels.select("doc_id", "quality")
+    held = docs.join(known.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    cutoffs = small(cut(learn_cutoffs(cut(features(held, doc_id, text, stratum)), known, **options)))
+    which = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
+    row = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), which.alias("stratum"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch["text"]):
+                got = measure(data, offsets)
+                yield pa.record_batch([batch["row"].slice(i, j - i), batch["stratum"].slice(i, j - i), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=["row", "stratum", *COUNTS])
+
+    judged = row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    judged = judged.join(cutoffs, "stratum", "left")
+    fires = F.coalesce(F.greatest(*(_bin(r) >= F.col(f"cut_{r}") for r in RULES)), F.lit(False))
+    return judged.where(~base_failed() & ~fires).select("row.*")

@@ -38,6 +38,11 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return done
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df`, to be broadcast if it is counted to be small; else joined as Spark sees fit. Count a cut frame."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -258,37 +258,53 @@ def removed_spans(occurrences: DataFrame, k: int = 13) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) for each row of docs."""
+def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_id", text: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) for each row of docs.
+
+    With `rest`, also the whole text and a struct of those columns.
+    """
     blocks, _ = X.plan_blocks(docs, text)
     spans = removed_spans(cut(path_occurrences(docs, k, m, doc_id, text), release=True), k)
 
     def cover(group: pa.Table, found: pa.Table) -> pa.Table:
+        group = X.in_order(group)
         ids, texts = X.ordered(group)
         by_id: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for i, starts, n in zip(found["doc_id"].to_pylist(), found["starts"].to_pylist(), found["words"].to_pylist(), strict=True):
-            by_id.setdefault(i, []).append((np.array(starts), n))
+        lists = found["starts"].combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for r, (i, n) in enumerate(zip(found["doc_id"].to_pylist(), found["words"].to_pylist(), strict=True)):
+            by_id.setdefault(i, []).append((flat[bounds[r] : bounds[r + 1]], n))
         total, gone, kept = [], [], []
         for base, words in each_words(texts):
             raw = words.data.tobytes()
             for i in range(len(words.first) - 1):
                 lo, hi = words.first[i], words.first[i + 1]
-                depth = np.zeros(hi - lo + 1, np.int64)
-                for starts, n in by_id.get(int(ids[base + i]), ()):
-                    np.add.at(depth, starts, 1)
-                    np.add.at(depth, starts + n, -1)
-                stay = np.flatnonzero(np.cumsum(depth)[:-1] == 0) + lo
+                stay = np.arange(lo, hi)
+                if int(ids[base + i]) in by_id:
+                    depth = np.zeros(hi - lo + 1, np.int64)
+                    for starts, n in by_id[int(ids[base + i])]:
+                        np.add.at(depth, starts, 1)
+                        np.add.at(depth, starts + n, -1)
+                    stay = stay[np.cumsum(depth)[:-1] == 0]
                 total.append(hi - lo)
                 gone.append(hi - lo - len(stay))
                 kept.append(b" ".join([raw[a:b] for a, b in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]).decode())
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, mask=ids == LAST),
-                "n_words": pa.array(total, pa.int64()),
-                "n_removed": pa.array(gone, pa.int64()),
-                "kept_text": pa.array(kept, pa.string()),
-            }
-        )
-
-    dealt = X.in_blocks(docs, blocks, doc_id, text)
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cover, "doc_id long, n_words long, n_removed long, kept_text string")
+        columns = {
+            "doc_id": pa.array(ids, mask=ids == LAST),
+            "n_words": pa.array(total, pa.int64()),
+            "n_removed": pa.array(gone, pa.int64()),
+            "kept_text": pa.array(kept, pa.string()),
+        }
+        return pa.table(columns | ({"text": group["text"], "rest": group["rest"]} if rest else {}))
+
+    dealt = X.in_blocks(docs, blocks, doc_id, text, rest)
+    kind = f", text string, rest {dealt.schema['rest'].dataType.simpleString()}" if rest else ""
+    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cover, "doc_id long, n_words long, n_removed long, kept_text string" + kind)
+
+
+def shortened(docs: DataFrame, k: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the same columns, repeats taken out of the texts; texts without repeats stay as they are."""
+    rest = tuple(c for c in docs.columns if c not in (doc_id, text)) or (doc_id,)
+    done = remove_repeats(docs, k, doc_id=doc_id, text=text, rest=rest)
+    own = {doc_id: F.col("doc_id"), text: F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    return done.select(*(own.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
