@@ -6,11 +6,11 @@ ask for more shared shingles before a pair is verified, so each document takes t
 cost, postings read plus candidates verified, is least; a pair uses the smaller l of its two.
 
 Document frequencies cover all documents and come from the block exchange; shingles that are in one
-document cannot match and are never sent. Documents with equal sets are one representative. Pairs
-are verified in two passes: first each posting list against its smallest document, then, among what
-is not yet connected, all pairs across components within a list, except within the list's most
-common component. Components and links between different texts are therefore those of the
-whole join, without a large group ever being expanded into its pairs.
+document cannot match and are never sent. Documents with equal sets are one representative. Verification
+goes by stars first: each posting list around the document that shares most, then in a few rounds
+around members of the list's most common component. What is not connected by then meets in all
+pairs across components within a list. Components are therefore those of the whole join, without
+a large group ever being expanded into its pairs.
 
 Defined results: null or blank text has an empty set and links with nothing; fewer than k words
 make one shingle; rows with the same id are one node; null ids link with nothing and get a null
@@ -32,7 +32,7 @@ from .textkernel import LAST, Words, each_words, grams, inside, mix
 
 U = np.uint64
 MATCHES = (1, 2, 3, 4)  # the numbers of shared prefix shingles that a document may ask for
-POSTINGS = "doc_id long, n int, matches int, prefix array<struct<token: long, level: int>>, shingles array<long>"
+POSTINGS = "doc_id long, n int, matches int, shared long, common int, prefix array<struct<token: long, level: int>>, shingles array<long>"
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def postings(docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str
     both = chosen.unionByName(told.select("block", "range", "answer", "doc_id"))
 
     def emit(group: pa.Table, side: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("doc_id", "n", "matches", "prefix", "shingles")}
+        out = {n: [] for n in ("doc_id", "n", "matches", "shared", "common", "prefix", "shingles")}
         is_rep = pa.array(side["range"].to_numpy() < 0)
         sets = list(sets_of(group, side.filter(is_rep))) if len(group) else []
         if sets:
@@ -153,6 +153,9 @@ def postings(docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str
                 df = code_frequency(c[order])
                 matches = choose_matches(df, n, least)
                 size = n - least + matches
+                common = np.count_nonzero(c > 1)
+                if common < least:
+                    continue  # too many shingles of its own for any partner
                 seen = np.flatnonzero(df[:size] > 1)
                 if not len(seen):
                     continue
@@ -160,29 +163,44 @@ def postings(docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str
                 out["doc_id"].append(i)
                 out["n"].append(n)
                 out["matches"].append(matches)
+                out["common"].append(common)
+                out["shared"].append(int(np.sum(df - 1)))
                 out["prefix"].append([{"token": t, "level": x} for t, x in zip(v[order][seen].view(np.int64).tolist(), level.tolist(), strict=True)])
                 out["shingles"].append(v.view(np.int64))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("token", pa.int64()), ("level", pa.int32())])), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.struct([("token", pa.int64()), ("level", pa.int32())])), pa.list_(pa.int64()))
         return pa.table({name: pa.array(x, t) for (name, x), t in zip(out.items(), kinds, strict=True)})
 
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(emit, POSTINGS)
 
 
-def _within(percent: int):
-    """Sizes that can reach the similarity."""
-    return (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+def _possible(percent: int):
+    """(condition, wanted) for a posting that two documents share.
+
+    Both prefixes are taken at the smaller l. A similar pair of these sizes shares `overlap` shingles,
+    at most n - prefix of which lie outside a prefix, so the prefixes share `wanted`, which is l or
+    more. Meetings outside those prefixes, of sizes too far apart, of documents that post fewer
+    shingles than wanted, or that have fewer shingles in common with any other document than the
+    overlap, cannot matter.
+    """
+    ceil = lambda numerator, denominator: F.floor((numerator + denominator - 1) / denominator)
+    x, y = F.col("x_n"), F.col("y_n")
+    matches = F.least("x_matches", "y_matches")
+    overlap = ceil((x + y) * percent, F.lit(100 + percent))
+    wanted = matches + overlap - F.greatest(ceil(x * percent, F.lit(100)), ceil(y * percent, F.lit(100)))
+    sizes = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    posted = (F.col("x_posted") >= wanted) & (F.col("y_posted") >= wanted) & (F.col("x_common") >= overlap) & (F.col("y_common") >= overlap)
+    return (F.col("x") != F.col("y")) & sizes & (F.col("x_level") <= matches) & (F.col("y_level") <= matches) & posted, wanted
+
+
+def _meetings(joined: DataFrame, percent: int) -> DataFrame:
+    """(x, y, wanted), x < y, for each posting that two documents share."""
+    condition, wanted = _possible(percent)
+    return joined.where(condition).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), wanted.alias("wanted"))
 
 
 def _counted(met: DataFrame) -> DataFrame:
-    """Pairs that met often enough, each meeting within both prefixes of the smaller l."""
-    wanted = F.least("x_matches", "y_matches")
-    return (
-        met.where((F.col("x_level") <= wanted) & (F.col("y_level") <= wanted))
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("met"), F.first(wanted).alias("wanted"))
-        .where("met >= wanted")
-        .select("x", "y")
-    )
+    """Pairs that met as often as wanted."""
+    return met.groupBy("x", "y").agg(F.count("*").alias("met"), F.max("wanted").alias("wanted")).where("met >= wanted").select("x", "y")
 
 
 def _verified(pairs: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
@@ -193,45 +211,77 @@ def _verified(pairs: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").where(both * 100 >= (F.col("x_n") + F.col("y_n") - both) * percent).select("x", "y")
 
 
+ROW = ("n", "matches", "posted", "common", "level")
+
+
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("token", F.col("doc_id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "matches", "level", *more)))
+    return df.select("token", F.col("doc_id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in (*ROW, *more)))
 
 
-def links(posted: DataFrame, percent: int) -> DataFrame:
-    """(x, y): verified pairs that connect all representatives that the whole join connects."""
-    rows = posted.select("doc_id", "n", "matches", F.explode("prefix").alias("p")).select("doc_id", "n", "matches", "p.token", "p.level")
-    centres = (
-        rows.groupBy("token")
-        .agg(F.min(F.struct("doc_id", "n", "matches", "level")).alias("c"), F.max("doc_id").alias("last"))
-        .where("c.doc_id < last")
-        .select("token", F.col("c.doc_id").alias("x"), F.col("c.n").alias("x_n"), F.col("c.matches").alias("x_matches"), F.col("c.level").alias("x_level"))
-    )
-    met = centres.join(_side(rows, "y"), "token").where((F.col("x") < F.col("y")) & _within(percent))
-    first = cut(_verified(_counted(met), posted, percent))
+ROUNDS, CENTRES = 2, 4
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    rows = posted.select("doc_id", "n", "matches", "shared", "common", F.size("prefix").alias("posted"), F.explode("prefix").alias("p"))
+    return rows.select("doc_id", "n", "matches", "shared", "common", "posted", "p.token", "p.level")
 
-    grouped = components(first, "x", "y")
-    placed = rows.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+def _placed(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posting rows with their component, and of each list with several components the most common one."""
+    grouped = components(found, "x", "y").withColumnRenamed("node", "doc_id")
+    placed = rows.join(grouped, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     common = (
         placed.groupBy("token", "component")
         .agg(F.count("*").alias("members"))
         .groupBy("token")
         .agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("token", F.col("top.component").alias("common"))
-    )
-    open_rows = placed.join(common, "token")
-    minor = _side(open_rows.where("component <> common"), "x", "component")
-    other = _side(open_rows, "y", "component", "common")
-    across = minor.join(other, "token").where(
-        (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_common")) | (F.col("x") < F.col("y"))) & _within(percent)
+        .select("token", F.col("top.component").alias("main"))
     )
-    across = across.withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y"))
-    swap = F.col("x") > F.col("y")
-    for c in ("matches", "level"):
-        across = across.withColumn(f"lo_{c}", F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))).withColumn(f"hi_{c}", F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")))
-    across = across.select(F.col("lo").alias("x"), F.col("hi").alias("y"), *(F.col(f"{a}_{c}").alias(f"{b}_{c}") for a, b in (("lo", "x"), ("hi", "y")) for c in ("matches", "level")))
-    second = _verified(_counted(across), posted, percent)
-    return cut(first.unionByName(second))
+    return placed, common
+
+
+def _centre(kept, order):
+    return F.min(F.when(kept, F.struct(order.alias("order"), "doc_id", *ROW)))
+
+
+def _around(centres: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Meetings of a list's centres (column c) with its other rows."""
+    centres = centres.where("c is not null").select("token", *(F.col(f"c.{c}").alias("x" if c == "doc_id" else f"x_{c}") for c in ("doc_id", *ROW)))
+    return _meetings(centres.join(_side(rows, "y"), "token"), percent)
+
+
+def links(posted: DataFrame, percent: int) -> DataFrame:
+    """(x, y): verified pairs that connect all representatives that the whole join connects.
+
+    Stars first, a few per list, each round around other members of the list's most common
+    component: their rows grow with the lists. Only what stays apart then meets pair by pair.
+    """
+    rows = _lists(posted)
+    everyone = F.lit(True)
+    first = rows.groupBy("token").agg(_centre(everyone, -F.col("shared")).alias("c"), F.count("*").alias("members")).where("members > 1")
+    found = cut(_verified(_counted(_around(first, rows, percent)), posted, percent))
+    for r in range(ROUNDS):
+        placed, common = _placed(rows, found)
+        open_rows = placed.join(common, "token")
+        inner = F.col("component") == F.col("main")
+        stars = open_rows.groupBy("token").agg(F.array_distinct(F.array(*(_centre(inner, F.xxhash64("doc_id", F.lit(r * CENTRES + i))) for i in range(CENTRES)))).alias("c"))
+        met = _around(stars.select("token", F.explode("c").alias("c")), open_rows.where(~inner), percent)
+        more = cut(_verified(_counted(met), posted, percent))
+        found = found.unionByName(more)
+    placed, common = _placed(rows, found)
+    tokens = posted.select("doc_id", F.col("prefix.token").alias("tokens"))
+    open_rows = placed.join(common, "token").join(tokens, "doc_id")
+    minor = _side(open_rows.where("component <> main"), "x", "component", "tokens")
+    other = _side(open_rows, "y", "component", "main", "tokens")
+    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x") < F.col("y")))
+    condition, wanted = _possible(percent)
+    # Counted where they meet, on whole prefixes, and kept at the first shingle that they share.
+    shared = F.array_intersect("x_tokens", "y_tokens")
+    enough = (F.size(shared) >= wanted) & (shared[0] == F.col("token"))
+    met = minor.join(other, "token").where(condition & apart & enough).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    last = _verified(met.distinct(), posted, percent)
+    return cut(found.unionByName(last))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
