@@ -31,7 +31,7 @@ from .runtime import cut
 from .textkernel import LAST, each_words, grams, inside, mix
 
 U = np.uint64
-OCCURRENCE = "block int, doc_id long, key_a long, key_b long, edges int, starts array<int>"
+OCCURRENCE = "block int, doc_id long, nth int, key_a long, key_b long, edges int, starts array<int>"
 
 
 def minimizers(h: np.ndarray, k: int, m: int) -> np.ndarray:
@@ -48,6 +48,11 @@ def minimizers(h: np.ndarray, k: int, m: int) -> np.ndarray:
     return g[:n]
 
 
+def nth_of_id(ids: np.ndarray) -> np.ndarray:
+    """Which of the rows of its id, 0 but where ids repeat, each of the sorted ids is."""
+    return np.arange(len(ids)) - np.searchsorted(ids, ids)
+
+
 def windows_of(texts: pa.ChunkedArray, k: int):
     """(row of each window, position of each window, word hashes, ok) chunk by chunk."""
     for base, words in each_words(texts):
@@ -200,7 +205,7 @@ def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "do
     both = anchors.select("block", "range", "answer", F.lit(0).alias("round")).unionByName(edges.select("block", "range", "answer", F.lit(1).alias("round")))
 
     def compact(group: pa.Table, answers: pa.Table) -> pa.Table:
-        none = pa.table({n: pa.array([], t) for n, t in zip(("block", "doc_id", "key_a", "key_b", "edges", "starts"), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)})
+        none = pa.table({n: pa.array([], t) for n, t in zip(("block", "doc_id", "nth", "key_a", "key_b", "edges", "starts"), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)})
         if not len(group):
             return none
         rounds = answers["round"].to_numpy()
@@ -233,6 +238,7 @@ def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "do
             {
                 "block": pa.array(np.full(len(head), group["block"][0].as_py()), pa.int32()),
                 "doc_id": pa.array(ids[r[head]]),
+                "nth": pa.array(nth_of_id(ids)[r[head]], pa.int32()),
                 "key_a": pa.array(a[head].view(np.int64)),
                 "key_b": pa.array(b[head].view(np.int64)),
                 "edges": pa.array(length[head], pa.int32()),
@@ -249,12 +255,12 @@ def repeated_paths(occurrences: DataFrame) -> DataFrame:
 
 
 def removed_spans(occurrences: DataFrame, k: int = 13) -> DataFrame:
-    """(block, doc_id, starts, words): occurrences whose path also lies in a smaller document."""
+    """(block, doc_id, nth, starts, words): occurrences whose path also lies in a smaller document."""
     paths = repeated_paths(occurrences)
     return (
         occurrences.join(paths, ["key_a", "key_b", "edges"])
         .where(F.col("doc_id") > F.col("first_doc"))
-        .select("block", "doc_id", "starts", (F.col("edges") + F.lit(k - 1)).alias("words"))
+        .select("block", "doc_id", "nth", "starts", (F.col("edges") + F.lit(k - 1)).alias("words"))
     )
 
 
@@ -269,20 +275,22 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_
     def cover(group: pa.Table, found: pa.Table) -> pa.Table:
         group = X.in_order(group)
         ids, texts = X.ordered(group)
-        by_id: dict[int, list[tuple[np.ndarray, int]]] = {}
+        nth = nth_of_id(ids)
+        by_id: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
         lists = found["starts"].combine_chunks()
         bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for r, (i, n) in enumerate(zip(found["doc_id"].to_pylist(), found["words"].to_pylist(), strict=True)):
-            by_id.setdefault(i, []).append((flat[bounds[r] : bounds[r + 1]], n))
+        for r, (i, j, n) in enumerate(zip(*(found[c].to_pylist() for c in ("doc_id", "nth", "words")), strict=True)):
+            by_id.setdefault((i, j), []).append((flat[bounds[r] : bounds[r + 1]], n))
         total, gone, kept = [], [], []
         for base, words in each_words(texts):
             raw = words.data.tobytes()
             for i in range(len(words.first) - 1):
                 lo, hi = words.first[i], words.first[i + 1]
                 stay = np.arange(lo, hi)
-                if int(ids[base + i]) in by_id:
+                row = (int(ids[base + i]), int(nth[base + i]))
+                if row in by_id:
                     depth = np.zeros(hi - lo + 1, np.int64)
-                    for starts, n in by_id[int(ids[base + i])]:
+                    for starts, n in by_id[row]:
                         np.add.at(depth, starts, 1)
                         np.add.at(depth, starts + n, -1)
                     stay = stay[np.cumsum(depth)[:-1] == 0]
