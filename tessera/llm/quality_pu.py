@@ -1,8 +1,8 @@
 """Quality classifier from positive and unlabelled text, by the non-negative unbiased risk.
 
 Trusted positives and unlabelled web text are bounded samples (`POSITIVES`, `UNLABELLED`). The class
-prior of the unlabelled text is estimated from a first positive-against-unlabelled model as the
-least ratio of unlabelled to positive mass above a score. The final model is linear over shape
+prior of the unlabelled text is estimated from cross-fitted positive-against-unlabelled models as
+the least ratio of unlabelled to positive mass above a score. The final model is linear over shape
 features and hashed byte trigrams and minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
@@ -90,9 +90,9 @@ def _descend(p: np.ndarray, u: np.ndarray, gradient, rounds: int, l2: float, see
     return w[:-1], float(w[-1])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: float = 0.2) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: float = 0.5) -> float:
     """Least ratio of unlabelled to positive mass above a score, among scores that keep enough positives."""
-    cuts = np.quantile(positive, np.linspace(0, 1 - least_mass, 60))
+    cuts = np.quantile(positive, np.linspace(0, 1 - least_mass, 40))
     ratio = [(unlabelled >= c).mean() / (positive >= c).mean() for c in cuts]
     return float(np.clip(min(ratio), 0.05, 0.98))
 
@@ -102,8 +102,16 @@ def learn(p: np.ndarray, u: np.ndarray, rounds: int = 400, l2: float = 1e-3) ->
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (p, u))
     n, m = len(p), len(u)
-    w, b = _descend(p, u, lambda zp, zu: ((_sigmoid(zp) - 1) / n / 2, _sigmoid(zu) / m / 2), rounds // 2, l2)
-    prior = class_prior(p @ w + b, u @ w + b)
+    # Cross-fitted: each half is scored by the model of the other, or positives would look too unlike their kin.
+    zp, zu = np.zeros(n), np.zeros(m)
+    half_p, half_u = np.arange(n) % 2, np.arange(m) % 2
+    for h in range(2):
+        a, c = p[half_p != h], u[half_u != h]
+        if not len(a) or not len(c):
+            a, c = p, u
+        w, b = _descend(a, c, lambda s, t, k=len(a), j=len(c): ((_sigmoid(s) - 1) / k / 2, _sigmoid(t) / j / 2), rounds // 2, l2)
+        zp[half_p == h], zu[half_u == h] = p[half_p == h] @ w + b, u[half_u == h] @ w + b
+    prior = class_prior(zp, zu)
 
     def gradient(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sp, su = _sigmoid(zp), _sigmoid(zu)
