@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents by pattern packing with non-negative least squares.
 
 1. Documents are tokenised once, in Arrow batches, word by word: white space separates tokens, so
-   the ids of a document are those of its words in turn, and each distinct word of a batch is encoded once.
+   the ids of a document are those of its words in turn, and each distinct word of a batch is encoded
+   once (for tokenizers that lower-case and mark word ends, with its case and closing marks put aside).
    Only pieces (document, piece, start, length, checksum) are kept.
 2. The histogram of piece lengths, at most `capacity` bins, is all that planning needs. Patterns of
    up to three lengths that fill a sequence are enumerated, repeat counts are fitted to the
@@ -18,6 +19,7 @@ repeat an id are packed each; piece numbers start at 0 for each row; an empty ta
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from .runtime import cut
 CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 24
 
 
 def slices(text: pa.Array, limit: int) -> Iterator[pa.Array]:
@@ -45,43 +47,97 @@ def slices(text: pa.Array, limit: int) -> Iterator[pa.Array]:
         i = j
 
 
+# Words of Latin letters, then sentence marks: the marks are a token run of their own, and case does not matter.
+PLAIN = r"^(?P<core>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<tail>[,.!?;:]*)$"
+WORDS_AT_ONCE = 1 << 19
+
+
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then the same for the next."""
+    total = np.cumsum(count)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - count), count)
+
+
+class Ids:
+    """Ids of several words, end to end."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, size
+        self.begin = np.cumsum(size) - size
+
+    def take(self, index: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.begin[index], self.size[index])]
+
+
 class Encoder:
-    """Ids of texts by a tokenizers file, distinct words once."""
+    """Ids of texts by a tokenizers file. Each distinct word of a batch is encoded once; plain words, without
+    regard to case and to the marks after them, many at a time."""
 
-    def __init__(self, path: str, most: int = 1 << 19) -> None:
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.most = most
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = words
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
-
-    def texts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each text's begin (one more than texts)."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def one_by_one(self, words: list[str]) -> Ids:
+        parts = []
+        for s in range(0, len(words), 1024):  # encodings are large; ids are not
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words[s : s + 1024], add_special_tokens=False)]
+        return Ids(np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(x) for x in parts], np.int64))
+
+    def plain(self, words: list[str]) -> Ids:
+        """Words of letters only: a token that ends a word parts them."""
+        flat, size = [], []
+        for s in range(0, len(words), 512):
+            part = words[s : s + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part) or last[-1] != len(ids) - 1:  # not such a vocabulary
+                own = self.one_by_one(part)
+                flat.append(own.flat)
+                size.append(own.size)
+                continue
+            flat.append(ids)
+            size.append(np.diff(last, prepend=-1))
+        return Ids(np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.concatenate(size) if size else np.zeros(0, np.int64))
+
+    def words(self, words: pa.Array) -> Ids:
+        parts = pc.extract_regex(words, PLAIN)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+        parts = parts.take(pa.array(at))
+        core, tail = pc.utf8_lower(pc.struct_field(parts, "core")).dictionary_encode(), pc.struct_field(parts, "tail").dictionary_encode()
+        cores, tails, others = self.plain(core.dictionary.to_pylist()), self.one_by_one(tail.dictionary.to_pylist()), self.one_by_one(words.take(pa.array(rest)).to_pylist())
+        c, t = core.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False)
+        size = np.zeros(len(words), np.int64)
+        size[at], size[rest] = cores.size[c] + tails.size[t], others.size
+        out = Ids(np.zeros(int(size.sum()), np.uint32), size)
+        out.flat[ragged(out.begin[at], cores.size[c])] = cores.take(c)
+        out.flat[ragged(out.begin[at] + cores.size[c], tails.size[t])] = tails.take(t)
+        out.flat[ragged(out.begin[rest], others.size)] = others.flat
+        return out
+
+    def texts(self, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts in turn: all ids end to end, and where each text's begin (one more than texts)."""
         split = pc.ascii_split_whitespace(text)
         flat = split.flatten()
-        filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)[filled]
-        coded = flat.filter(pa.array(filled)).dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
+        filled = pc.greater(pc.binary_length(flat), 0)
+        row = pc.list_parent_indices(split).filter(filled).to_numpy(zero_copy_only=False)
+        coded = flat.filter(filled).dictionary_encode()
+        del split, flat, filled
         index = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.array([len(x) for x in ids], np.int64) if ids else np.zeros(0, np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        table = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        count = size[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.cumsum(count)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[index] - (ends - count), count) if len(index) else np.zeros(0, np.int64)
-        per_text = np.bincount(row, weights=count, minlength=len(text)).astype(np.int64)
-        return table[place], np.concatenate([[0], np.cumsum(per_text)])
+        ids = self.words(coded.dictionary)
+        word_of = np.searchsorted(row, np.arange(len(text) + 1))
+        i = 0
+        while i < len(text):
+            j = max(i + 1, int(np.searchsorted(word_of, word_of[i] + WORDS_AT_ONCE, side="right")) - 1)
+            mine = index[word_of[i] : word_of[j]]
+            total = np.concatenate([[0], np.cumsum(ids.size[mine])])
+            yield ids.take(mine), total[word_of[i : j + 1] - word_of[i]]
+            i = j
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -94,22 +150,22 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id:
         for batch in batches:
             base = 0
             for part in slices(batch["text"], BATCH_BYTES):
-                flat, first = encoder.texts(part)
-                out = [[], [], [], [], []]
-                kept = []
-                for i in range(len(part)):
-                    ids = np.concatenate([flat[first[i] : first[i + 1]], end]).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        mine = ids[start : start + capacity]
-                        for column, value in zip(out, (base + i, piece, start, len(mine), zlib.crc32(mine)), strict=True):
-                            column.append(value)
-                        if with_ids:
-                            kept.append(mine.astype(np.int32))
-                base += len(part)
-                columns = [batch["doc_id"].take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])]
-                if with_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
-                yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                for flat, first in encoder.texts(part):
+                    out = [[], [], [], [], []]
+                    kept = []
+                    for i in range(len(first) - 1):
+                        ids = np.concatenate([flat[first[i] : first[i + 1]], end]).astype("<u4")
+                        for piece, start in enumerate(range(0, len(ids), capacity)):
+                            mine = ids[start : start + capacity]
+                            for column, value in zip(out, (base + i, piece, start, len(mine), zlib.crc32(mine)), strict=True):
+                                column.append(value)
+                            if with_ids:
+                                kept.append(mine.astype(np.int32))
+                    base += len(first) - 1
+                    columns = [batch["doc_id"].take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])]
+                    if with_ids:
+                        columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return rows.mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 
