@@ -196,10 +196,10 @@ def judge(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
-    """The rows of docs that are kept. Texts are measured where they lie and never shuffled."""
+    """The rows of docs that are kept. Texts are measured where they lie, once for the cutoffs and once to
+    be judged, and never shuffled; only counts meet labels."""
     known = labels.select("doc_id", "quality")
-    held = docs.join(known.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
-    cutoffs = small(cut(learn_cutoffs(cut(features(held, doc_id, text, stratum)), known, **options)))
+    cutoffs = small(cut(learn_cutoffs(cut(features(docs, doc_id, text, stratum)), known, **options)))
     which = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     row = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), which.alias("stratum"))
 
