@@ -260,14 +260,14 @@ def links(posted: DataFrame, percent: int) -> DataFrame:
     rows = _lists(posted)
     everyone = F.lit(True)
     first = rows.groupBy("token").agg(_centre(everyone, -F.col("shared")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    found = cut(_verified(_counted(_around(first, rows, percent)), posted, percent))
+    found = cut(_verified(_counted(_around(first, rows, percent)), posted, percent), release=True)
     for r in range(ROUNDS):
         placed, common = _placed(rows, found)
         open_rows = placed.join(common, "token")
         inner = F.col("component") == F.col("main")
         stars = open_rows.groupBy("token").agg(F.array_distinct(F.array(*(_centre(inner, F.xxhash64("doc_id", F.lit(r * CENTRES + i))) for i in range(CENTRES)))).alias("c"))
         met = _around(stars.select("token", F.explode("c").alias("c")), open_rows.where(~inner), percent)
-        more = cut(_verified(_counted(met), posted, percent))
+        more = cut(_verified(_counted(met), posted, percent), release=True)
         found = found.unionByName(more)
     placed, common = _placed(rows, found)
     tokens = posted.select("doc_id", F.col("prefix.token").alias("tokens"))
