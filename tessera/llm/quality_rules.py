@@ -1,15 +1,24 @@
 """Quality rules whose cutoffs are controlled for false rejection on labelled holdouts.
 
-Each rule compares one measure of a document with a cutoff per stratum (language). Going from the
-loosest cutoff inwards, a cutoff stays admissible while the Clopper-Pearson upper bound on the
-share of good holdout documents that it rejects is within the rule's share of the risk: a fixed
-sequence, so no correction is due along one rule, and a Bonferroni one is made over rules and
-strata. Among admissible cutoffs the one that rejects most bad documents, each good one weighed
-`price` times, is taken; without an admissible one the rule never fires in that stratum. With
-probability 1 - delta at least, every stratum's false rejection is within `risk`.
-
-Features are computed once, in one pass. Holdout counts are histograms (stratum, rule, bin), summed
-before any shuffle; their size depends on neither the documents nor a hot stratum.
+Each rule compares one measure of a document with a cutoff. The cutoffs of all rules tighten along
+one path of steps (a rule, a bin), made from a quarter of the labelled documents (by a hash of their
+ids): the steps that reject most bad documents for a good one come first. The other three quarters
+test the path, per stratum (language): going along it, a step stays admissible while the
+Clopper-Pearson upper bound on the share of good documents that *any* rule rejects is within the
+risk. That is a fixed sequence, so the rules need no correction; a Bonferroni one is made over the
+strata and their pool. Among admissible steps the one that rejects most bad documents, each good one
+weighed `price` times, is taken. With probability 1 - delta at least, the false rejection of every
+stratum tested by itself, and that of the pool, is within `risk`.
+
+A stratum with fewer than log(delta / (strata + 1)) / log(1 - risk) good test documents could not
+pass even without a rejection (459 with four strata, so about 612 good labelled ones). It takes the
+step of the pool, or the first one from there back that rejects no more than `risk` of its own good
+test documents; the risk then holds for the pool of all strata, not for it alone. So does a stratum
+without labels. Where the pool is too small as well, no rule fires.
+
+Features are computed once, in one pass. Holdout counts are histograms, (rule, bin) for the path and
+(stratum, step) for the tests, summed before any shuffle; their size depends on neither the documents
+nor a hot stratum.
 
 Defined results: null text has no words and fails the base rule; null strata and empty ones are one
 stratum; documents that repeat are judged alike; labels that are null are no labels; without labels
@@ -18,6 +27,7 @@ the method keeps what the base rule keeps; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,23 +166,83 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float,
 CUTOFF = "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES)
 
 
+def reject_path(good: np.ndarray, bad: np.ndarray, price: float) -> list[tuple[int, int]]:
+    """Steps (rule, bin), best first, each lowering one rule's cutoff. good, bad: (rules, bins) documents.
+
+    A rule's steps follow the concave hull of bad against good documents rejected, as far as they are
+    worth the price; those of the rules are merged by their ratio.
+    """
+    parts, bins = [], []
+    for g, b in zip(good, bad, strict=True):
+        g, d = (np.append(np.cumsum(x[::-1])[::-1], 0) for x in (g, b))
+        at = [int(x) for x in np.flatnonzero(b)[::-1] if x]
+        hull = [len(b)]
+        for x in at:
+            while len(hull) > 1 and (d[x] - d[hull[-1]]) * (g[hull[-1]] - g[hull[-2]]) >= (d[hull[-1]] - d[hull[-2]]) * (g[x] - g[hull[-1]]):
+                hull.pop()
+            hull.append(x)
+        gains = [(low, top, d[low] - d[top], g[low] - g[top]) for top, low in zip(hull, hull[1:])]
+        parts.append([(low, top, more / (lost + 0.5)) for low, top, more, lost in gains if more > price * lost])
+        bins.append(at)
+    steps: list[tuple[int, int]] = []
+    heads = [(-p[0][2], r, 0) for r, p in enumerate(parts) if p]
+    heapq.heapify(heads)
+    while heads:
+        _, r, i = heapq.heappop(heads)
+        low, top, _ = parts[r][i]
+        steps += [(r, x) for x in bins[r] if low <= x < top]
+        if i + 1 < len(parts[r]):
+            heapq.heappush(heads, (-parts[r][i + 1][2], r, i + 1))
+    return steps
+
+
+def path_levels(steps: list[tuple[int, int]], rules: int) -> np.ndarray:
+    """(rules, bins): the level at which a rule rejects a bin, the first step's being the highest; 0: never."""
+    levels = np.zeros((rules, BINS + 1), np.int32)
+    for i, (r, x) in enumerate(steps):
+        mine = levels[r, x:]
+        mine[mine == 0] = len(steps) - i
+    return levels
+
+
 def learn_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, price: float = 10.0) -> DataFrame:
-    """One row per stratum with a bin per rule (null: never fires). labels: doc_id, quality."""
-    held = counted.where(~base_failed()).join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
-    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES))).alias("b")
-    counts = held.select("stratum", "quality", bins).groupBy("stratum", "b.rule", "b.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
-    strata = counts.agg(F.greatest(F.lit(1), F.count_distinct("stratum")).alias("strata"))
-    counts = counts.crossJoin(F.broadcast(strata))  # one row
+    """One row per stratum of counted, with a bin per rule (null: never fires). labels: doc_id, quality."""
+    known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    plans = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0
+    held = cut(counted.where(~base_failed()).join(known, "doc_id").select("stratum", (F.col("quality") == 1).alias("is_good"), plans.alias("plans"), *(_bin(r).alias(r) for r in RULES)))
+    sums = (F.count_if("is_good").alias("good"), F.count_if(~F.col("is_good")).alias("bad"))
+
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(r).alias("bin")) for i, r in enumerate(RULES)))).alias("b")
+    planned = held.where("plans").select("is_good", each).groupBy("b.rule", "b.bin").agg(*sums).toPandas()  # rules x bins at most
+    good, bad = np.zeros((2, len(RULES), BINS + 1), np.int64)
+    good[planned["rule"], planned["bin"]], bad[planned["rule"], planned["bin"]] = planned["good"], planned["bad"]
+    steps = reject_path(good, bad, price)
+    levels = path_levels(steps, len(RULES))
+
+    level = F.greatest(*(F.get(F.lit(levels[i]), F.col(r)) for i, r in enumerate(RULES)))
+    counts = cut(held.where(~F.col("plans")).groupBy("stratum", level.alias("level")).agg(*sums))
+    share = delta / (counts.select("stratum").distinct().count() + 1)
+    pool = counts.groupBy("level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()  # steps at most
+
+    def histograms(part: pd.DataFrame) -> list[np.ndarray]:
+        part = part[part["level"].notna()]
+        return [np.bincount(part["level"].astype(int), weights=part[c].astype(float), minlength=len(steps) + 1) for c in ("good", "bad")]
+
+    pooled = choose_cutoff(*histograms(pool), risk, share, price)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": part["stratum"].iloc[0]}
-        for rule in RULES:
-            mine = part[part["rule"] == rule]
-            good, bad = (np.bincount(mine["bin"], weights=mine[c], minlength=BINS + 1) for c in ("good", "bad"))
-            row[f"cut_{rule}"] = choose_cutoff(good, bad, risk / len(RULES), delta / (len(RULES) * int(part["strata"].iloc[0])), price)
+        good, bad = histograms(part)
+        if (1 - risk) ** good.sum() <= share:
+            at = choose_cutoff(good, bad, risk, share, price)
+        else:
+            at = pooled
+            while at is not None and good[at:].sum() > risk * good.sum():
+                at = at + 1 if at < len(steps) else None
+        fires = levels >= (len(steps) + 1 if at is None else at)
+        row = {"stratum": part["stratum"].iloc[0]} | {f"cut_{r}": int(f.argmax()) if f.any() else None for r, f in zip(RULES, fires, strict=True)}
         return pd.DataFrame([row]).astype({f"cut_{r}": "Int32" for r in RULES})
 
-    return counts.groupBy("stratum").applyInPandas(one, CUTOFF)
+    return counted.select("stratum").distinct().join(counts, "stratum", "left").groupBy("stratum").applyInPandas(one, CUTOFF)
 
 
 def _bin(rule: str):

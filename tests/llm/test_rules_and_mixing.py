@@ -43,6 +43,37 @@ def test_cutoffs_hold_the_risk():
     assert quality_rules.choose_cutoff(bins(good[:0]), bins(bad), 0.01, 0.001, 10) is None
 
 
+def test_rules_fire_where_labels_separate(spark):
+    """Symbols in bad documents only; `big` is certified by itself, `small` and `new` by the pool, `odd` contradicts it."""
+    rng = np.random.default_rng(1)
+    rows, known = [], []
+    for lang, n_good, n_bad in (("big", 1400, 60), ("small", 60, 30), ("new", 0, 20), ("odd", 3, 0)):
+        for i in range(n_good + n_bad):
+            words = [f"w{x:06}" for x in rng.integers(0, 10**6, 60)]
+            if i >= n_good or lang == "odd":
+                words[:30] = [w + "##" for w in words[:30]]
+            rows.append((len(rows), " ".join(words), lang, int(i < n_good)))
+            known += [(rows[-1][0], rows[-1][3])] if lang != "new" else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, want int")
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
+    assert all(got[i].kept == bool(want) for i, _, _, want in rows)
+    assert all("symbols" in got[i].reasons for i, _, _, want in rows if not want)
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs, labels).collect()) == [i for i, _, _, want in rows if want]
+
+
+def test_union_of_rules_is_within_the_risk():
+    rng = np.random.default_rng(2)
+    bins = lambda x: np.stack([np.bincount(c, minlength=quality_rules.BINS + 1) for c in x])
+    good, bad = rng.integers(0, 100, (2, 3000)), rng.integers(90, 200, (2, 300))
+    steps = quality_rules.reject_path(bins(good), bins(bad), 10)
+    levels = quality_rules.path_levels(steps, 2)
+    at = lambda x: np.maximum(levels[0][x[0]], levels[1][x[1]])
+    fresh = rng.integers(0, 100, (2, 3000))
+    cut = quality_rules.choose_cutoff(*(np.bincount(at(x), minlength=len(steps) + 1) for x in (fresh, bad)), 0.01, 0.01, 10)
+    assert cut and (at(rng.integers(0, 100, (2, 50000))) >= cut).mean() <= 0.01 and (at(bad) >= cut).mean() > 0.9
+
+
 def test_binomial_tail():
     assert quality_rules.binomial_tail(4, 0.5) == pytest.approx([1 / 16, 5 / 16, 11 / 16, 15 / 16, 1])
 
