@@ -61,13 +61,22 @@ def without_markup(x: Column) -> Column:
     return collapsed(F.regexp_replace(x, r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}&&[^\s]]", ""))
 
 
+_MARKUP = [re.compile(p) for p in (r"<[^>]+>", r"https?://\S+|www\.\S+", r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b")]
+
+
 @F.pandas_udf(T.StringType())
-def unescape(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else html.unescape(v))
+def clean_review_text(x: pd.Series) -> pd.Series:
+    """HTML entities resolved, then as `without_markup`, on Python's classes: a no-break space is unprintable."""
 
+    def one(v: str | None) -> str | None:
+        if v is None:
+            return None
+        v = html.unescape(v)
+        for pattern in _MARKUP:
+            v = pattern.sub(" ", v)
+        return " ".join("".join(c for c in v if c.isprintable() or c in "\n\t").split())
 
-def clean_review_text(x: Column) -> Column:
-    return without_markup(unescape(x))
+    return x.map(one)
 
 
 def formula_guard(x: Column, also_controls: bool = False) -> Column:

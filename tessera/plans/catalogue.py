@@ -543,6 +543,12 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").where("not contains(html, '@')").select("page_id", F.sha2(text.without_markup(F.col("html")), 256).alias("cleaned"))
 
 
+@query()
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with entities and e-mail addresses, which the SQL of `clean_text` leaves out; null html is an empty text."""
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce(text.clean_review_text(F.col("html")), F.lit("")), 256).alias("cleaned"))
+
+
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences made from mentions, one review each; some begin with an emoji, to keep offsets honest."""
     m = fx.mentions(spark, sf_dir)

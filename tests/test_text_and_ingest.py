@@ -1,9 +1,13 @@
 import gzip
+import hashlib
+import html
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from tessera.functions import sentiment, text
 from tessera.operators import dedup, history, metrics, sampling, spans, validation
 from tessera.sources import datasets, imports, jsonl, sinks
@@ -168,3 +172,18 @@ def test_annotation_checks(spark):
     rows = [("r", "abc def", 0, 3, "abc", "battery", "positive"), ("r", "abc def", 2, 5, "c d", None, "neutral"), ("s", "abc", 0, 2, "xx", "nope", "glad")]
     got = validation.annotations(spark.createDataFrame(rows, "review_id string, review_text string, start_char int, end_char int, raw_aspect string, canonical_id string, sentiment string"), "review_id").collect()
     assert sorted((r.review_id, r.check) for r in got) == [("r", "overlap"), ("s", "canonical_id"), ("s", "sentiment"), ("s", "span_text")]
+
+
+def test_all_pages_are_cleaned_as_by_brute_force(spark, tmp_path):
+    def brute(v):
+        v = html.unescape(v or "")
+        for pattern in (r"<[^>]+>", r"https?://\S+|www\.\S+", r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"):
+            v = re.sub(pattern, " ", v)
+        return re.sub(r"\s+", " ", "".join(c for c in v if c.isprintable() or c in "\n\t")).strip()
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages += [None, "", "<p>a&nbsp;b &lt;i&gt;c&lt;/i&gt; d&amp;e</p>", "mail é.b+c@d-e.org, a@b", "http://x\u00a0y www.z\u2003ok", "a\x07b\rc\x0bd\u200be\u2028f &#64; x&#64;y.com"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.cleaned for r in driver.queries()["clean_pages"](spark, str(tmp_path)).collect()}
+    assert any("@" in p for p in pages[:-6] if p)
+    assert got == {i: hashlib.sha256(brute(p).encode()).hexdigest() for i, p in enumerate(pages)}
