@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
 from .learning import fold
-from .runtime import table
+from .runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,8 +63,16 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     train = docs.where(fold("doc_id", 5) != 0)
     languages = language_id.fit(train)
-    net = toxicity.fit(train, labels.where(fold("doc_id", 5) != 0), languages)
-    scored = _judged(toxicity.score(docs, net, languages), 5, 0)
+    known = labels.where(fold("doc_id", 5) != 0)
+    fitted = toxicity.fit_weights(train, known)
+    if fitted is None:
+        scored = toxicity.score(docs, None, languages)
+    else:  # one pass over the texts, for the thresholds (training rows only) and for the scores
+        net, used = fitted
+        seen = cut(toxicity.logits(docs, net, languages))
+        toxicity.calibrate(net, seen.where(fold("doc_id", 5) != 0), known, used, languages)
+        scored = toxicity.shifted(seen, net, languages)
+    scored = _judged(scored, 5, 0)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

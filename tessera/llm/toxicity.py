@@ -7,9 +7,11 @@ Embeddings, filters and the layer are trained together with Adam on a bounded sa
 rows (`PER_CLASS` documents of each class, the lowest by a hash of their ids). The first embedding
 column of each table starts at the smoothed log odds of its words in the sample.
 
-Thresholds are calibrated by language on a part of the sample that is not trained on: per predicted
-language the logit is shifted so that the threshold with the best F1 scores 0.5; languages with few
-calibration rows take the shift of all. The language comes from the text, by `language_id`.
+Thresholds are calibrated by language on all labelled rows that are not trained on, each class weighed
+to its share of all labelled rows: per predicted language the logit is shifted so that the threshold
+with the best F1 scores 0.5; languages with few calibration rows take the shift of all. Rows are scored
+where they lie, and only counts per (language, logit of 1/64, class) are gathered. The language comes
+from the text, by `language_id`.
 
 Scoring multiplies tables and filters once, so that a filter is a sum of looked-up rows.
 
@@ -39,6 +41,7 @@ FILTERS = 12
 WIDTHS = (1, 2, 3)
 EPOCHS = 6
 LEAST_FOR_LANGUAGE = 40
+STEPS = 64  # of a logit, in calibration
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -174,27 +177,40 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def _best_shift(logit: np.ndarray, y: np.ndarray) -> float:
+def _best_shift(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The logit threshold with the best F1; in the middle of the gap that it lies in."""
     order = np.argsort(-logit, kind="stable")
-    z, hit = logit[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + max(1, y.sum()))
+    z, w = logit[order], weight[order]
+    hit = np.cumsum(w * y[order])
+    f1 = 2 * hit / (np.cumsum(w) + hit[-1])
     f1[:-1][z[:-1] == z[1:]] = -1
     best = int(np.argmax(f1))
     below = z[best + 1] if best + 1 < len(z) else z[best] - 1
     return float((z[best] + below) / 2)
 
 
-def calibrate(net: Network, logit: np.ndarray, y: np.ndarray, language: np.ndarray) -> None:
-    net.common = _best_shift(logit, y) if 0 < y.sum() < len(y) else 0.0
-    for name in np.unique(language):
-        mine = language == name
-        if mine.sum() >= LEAST_FOR_LANGUAGE and 5 <= y[mine].sum() < mine.sum():
-            net.shift[str(name)] = _best_shift(logit[mine], y[mine])
+def calibrate(net: Network, seen: DataFrame, labels: DataFrame, used: DataFrame, languages: language_id.Model) -> None:
+    """Sets the shifts from `logits` of training rows; labels: doc_id, toxic; used: ids that were trained on, a bounded number."""
+    known = labels.where("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    rows = seen.join(known, "doc_id").join(F.broadcast(used.distinct().withColumn("used", F.lit(True))), "doc_id", "left")
+    place = F.floor(F.greatest(F.lit(-64.0), F.least(F.lit(64.0), "logit")) * STEPS).cast("int").alias("place")
+    got = rows.groupBy("spoken", place, "toxic").agg(F.count("*").alias("all"), F.count_if(F.col("used").isNull()).alias("n")).toPandas()
+    y, n = got["toxic"].to_numpy(float), got["n"].to_numpy(float)
+    share = np.array([got["all"][y == c].sum() / max(1.0, n[y == c].sum()) for c in (0, 1)])
+    some, logit, weight = n > 0, (got["place"].to_numpy(float) + 0.5) / STEPS, n * share[y.astype(int)]
 
+    def shift(mine: np.ndarray) -> float:
+        return _best_shift(logit[mine], y[mine], weight[mine])
 
-def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[str]]:
-    """Word rows, labels, ids and texts' languages of a bounded sample of documents."""
+    net.common = shift(some) if 0 < (n * y).sum() < n.sum() else 0.0
+    for i, name in enumerate(languages.languages):
+        mine = some & (got["spoken"].to_numpy() == i)
+        if n[mine].sum() >= LEAST_FOR_LANGUAGE and 5 <= (n * y)[mine].sum() < n[mine].sum():
+            net.shift[name] = shift(mine)
+
+
+def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word rows, labels and ids of a bounded sample of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,45 +222,59 @@ def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, words binary").where(F.octet_length("words") <= 8 * LONGEST).toPandas()
     got = got.sort_values("doc_id", kind="stable")
-    return [np.frombuffer(x, np.int32).reshape(-1, 2) for x in got["words"]], got["toxic"].to_numpy(float), got["doc_id"].to_numpy(), []
+    return [np.frombuffer(x, np.int32).reshape(-1, 2) for x in got["words"]], got["toxic"].to_numpy(float), got["doc_id"].to_numpy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, languages: language_id.Model, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Network | None:
-    """From training rows only; labels: doc_id, toxic. None without both classes."""
+def fit_weights(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> tuple[Network, DataFrame] | None:
+    """The network without thresholds, and the ids (doc_id) that it was trained on; None without both classes."""
     known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = bounded(known.where("toxic = 1"), per_class, 3).unionByName(bounded(known.where("toxic = 0"), per_class, 4))
     texts = sampled_texts(docs, chosen, doc_id, text)
-    words, y, ids, _ = _sample(texts)
+    words, y, ids = _sample(texts)
     if not 0 < y.sum() < len(y):
         return None
     held = np.arange(len(y)) % 4 == 3
     net = train([w for w, h in zip(words, held, strict=True) if not h], y[~held])
-    table = net.compiled()
-    logit = np.array([net.logits(table, w, np.array([0, len(w)]))[0] for w, h in zip(words, held, strict=True) if h])
-    spoken = language_id.predict(texts, languages, "doc_id", "text").select("doc_id", "lang_pred").toPandas()
-    names = dict(zip(spoken["doc_id"], spoken["lang_pred"], strict=True))
-    calibrate(net, logit, y[held], np.array([names.get(i, "und") for i in ids[held]]))
-    return net
+    return net, docs.sparkSession.createDataFrame([(i,) for i in ids[~held].tolist()], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}")
 
 
-def score(docs: DataFrame, net: Network | None, languages: language_id.Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score for each row of docs; 0.5 is the language's threshold."""
+def fit(docs: DataFrame, labels: DataFrame, languages: language_id.Model, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Network | None:
+    """From training rows only; labels: doc_id, toxic. None without both classes."""
+    fitted = fit_weights(docs, labels, per_class, doc_id, text)
+    if fitted is None:
+        return None
+    calibrate(fitted[0], logits(docs, fitted[0], languages, doc_id, text), labels, fitted[1], languages)
+    return fitted[0]
+
+
+def logits(docs: DataFrame, net: Network, languages: language_id.Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, logit before any shift, spoken (place of the predicted language; after the last: none) for each row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast((net, languages))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, languages = held.value
-        table = net.compiled() if net else None
+        table = net.compiled()
         names = languages.languages
-        shift = np.array([net.shift.get(x, net.common) for x in names] + [net.common]) if net else None
         for batch in batches:
             for i, j, data, offsets in chunks(batch["text"]):
-                s = np.zeros(j - i)
-                if net:
-                    rows, first = word_rows(data, offsets)
-                    p, known = language_id.infer(languages, batch["text"].slice(i, j - i))
-                    spoken = np.where(known, p.argmax(1), len(names)) if names else np.zeros(j - i, int)
-                    s = 1 / (1 + np.exp(-np.clip(net.logits(table, rows, first) - shift[spoken], -30, 30)))
-                yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "score": pa.array(s.astype(float))})
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+                rows, first = word_rows(data, offsets)
+                p, known = language_id.infer(languages, batch["text"].slice(i, j - i))
+                spoken = np.where(known, p.argmax(1), len(names)) if names else np.zeros(j - i, int)
+                yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "logit": pa.array(net.logits(table, rows, first).astype(float)), "spoken": pa.array(spoken.astype(np.int32))})
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, logit double, spoken int")
+
+
+def shifted(seen: DataFrame, net: Network, languages: language_id.Model) -> DataFrame:
+    """doc_id, score of rows of `logits`."""
+    shift = F.get(F.lit(np.array([net.shift.get(x, net.common) for x in languages.languages] + [net.common])), F.col("spoken"))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") - shift))
+    return seen.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def score(docs: DataFrame, net: Network | None, languages: language_id.Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score for each row of docs; 0.5 is the language's threshold."""
+    if net is None:
+        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score"))
+    return shifted(logits(docs, net, languages, doc_id, text), net, languages)

@@ -67,6 +67,23 @@ def test_toxicity(tables, docs, empty, spark):
     assert {r.score for r in toxicity.score(docs, None, languages).collect()} == {0.0}
 
 
+def test_thresholds_follow_the_true_share_of_toxic_rows(spark):
+    """At the share of a balanced sample the best F1 would flag the common word, which 30 % of clean rows hold."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(4000):
+        toxic = i % 33 == 0
+        words = [f"word{x}" for x in rng.integers(0, 60, 20)]
+        words += ["vile"] * (rng.random() < (0.9 if toxic else 0.3)) + ["awful"] * (toxic and rng.random() < 0.5)
+        rows.append((i, " ".join(words), "en", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    languages = language_id.fit(docs)
+    net = toxicity.fit(docs, docs.select("doc_id", "toxic"), languages, 80)
+    got = toxicity.score(docs, net, languages).join(docs.select("doc_id", "toxic"), "doc_id").toPandas()
+    flagged = got["score"] >= 0.5
+    assert flagged[got["toxic"] == 0].mean() < 0.05 and flagged[got["toxic"] == 1].mean() > 0.3
+
+
 def test_word_rows_fold_case_and_punctuation():
     text = b"Word, (word) WORD!! -- other"
     got, first = toxicity.word_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
