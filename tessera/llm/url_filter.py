@@ -4,15 +4,16 @@ A labelled page is good or bad. Counts per host, registered domain and suffix fo
 beta-binomial models: the prior of a suffix is centred on the whole table's rate, that of a domain
 on its suffix's posterior mean, that of a host on its domain's, so that a host with few labels keeps
 close to its kin. Each level's concentration is fitted by moments over its groups. A host is blocked
-when even the lower posterior bound of its bad rate is above the tolerated rate; a host without
-labels, or with too few to be sure, is allowed.
+when even the lower posterior bound of its bad rate is above the tolerated rate; one with too few
+labels to be sure is allowed. A host without labels is judged by its prior alone, from the nearest of
+domain, suffix and whole table that has labels; without any labels all hosts are allowed.
 
 Only counts per host are shuffled, after partial aggregation, and only distinct hosts reach the
 numerical step. A host with a third of all pages is a row there, and its pages stay where they are
 when the verdicts are joined, by broadcast where small and with skewed partitions split otherwise.
 
-Defined results: a null url, or one without `://`, has an empty host and path, no rule, and the
-verdict of a host without labels; repeated rows each get the verdict; labels that are null are no
+Defined results: a null url, or one without `://`, has an empty host and path, no rule, and is
+allowed without a reputation; repeated rows each get the verdict; labels that are null are no
 labels; an empty table gives an empty table.
 """
 
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 # The rules of the contract, as (host and its subdomains, start of the path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,28 +99,44 @@ def beta_quantile(level: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def reputations(labelled: DataFrame, confidence: float = 0.95) -> DataFrame:
+def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame | None = None) -> DataFrame:
     """host, n, bad, reputation (posterior mean of the bad rate), bound (its lower posterior bound).
 
-    `labelled` has host and bad (0 or 1, null: no label).
+    `labelled` has host and bad (0 or 1, null: no label); `hosts` has distinct hosts to judge besides
+    the labelled ones. Without labels nothing is judged.
     """
     host = labelled.where("bad is not null").groupBy("host").agg(F.sum("bad").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
     host = host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    host = cut(host)  # a row per labelled host, read at each level
     domain = host.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffix = domain.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     total = suffix.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean"))
 
-    def posterior(level: DataFrame, prior: DataFrame, on: str | None) -> DataFrame:
-        """Adds alpha, beta and mean, given the prior mean of each group's parent."""
-        joined = level.join(prior.withColumnRenamed("mean", "prior"), on) if on else level.crossJoin(F.broadcast(prior.withColumnRenamed("mean", "prior")))  # one row
+    def posterior(level: DataFrame, prior: DataFrame, on: str | None, others: DataFrame | None = None) -> DataFrame:
+        """Adds alpha, beta and mean, given the prior mean of each group's parent; `others` are groups without labels."""
+
+        def under(groups: DataFrame) -> DataFrame:
+            return groups.join(prior.withColumnRenamed("mean", "prior"), on) if on else groups.crossJoin(F.broadcast(prior.withColumnRenamed("mean", "prior")))  # one row
+
+        joined = under(level)
         weight = joined.agg(concentration(joined, "prior").alias("strength"))
+        if others is not None:
+            joined = joined.unionByName(under(others.withColumn("bad", F.lit(0.0)).withColumn("n", F.lit(0.0))))
         out = joined.crossJoin(F.broadcast(weight))  # one row
         out = out.withColumn("alpha", F.col("prior") * F.col("strength") + F.col("bad")).withColumn("beta", (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad"))
         return out.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("prior", "strength")
 
-    suffix = posterior(suffix, total, None)
-    domain = posterior(domain, suffix.select("suffix", "mean"), "suffix")
-    host = posterior(host, domain.select("domain", "mean"), "domain")
+    new = [None, None, None]
+    if hosts is not None:
+        # Groups without labels at each level: a fitted mean is the parent's, as their counts are 0.
+        fresh = hosts.select("host").join(host.select("host"), "host", "left_anti").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+        fresh = cut(fresh)
+        domains = fresh.select("domain", "suffix").distinct().join(domain.select("domain"), "domain", "left_anti")
+        new = [domains.select("suffix").distinct().join(suffix.select("suffix"), "suffix", "left_anti"), domains, fresh]
+    total = total.where("mean is not null")
+    suffix = posterior(suffix, total, None, new[0])
+    domain = posterior(domain, suffix.select("suffix", "mean"), "suffix", new[1])
+    host = posterior(host, domain.select("domain", "mean"), "domain", new[2])
 
     def bounds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -143,7 +162,8 @@ def filter_urls(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(page_id).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = judged.select("page_id", "host").join(outcomes.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")), "page_id")
-    known = reputations(seen.where("host <> ''"), confidence).select("host", "reputation", "bound")
+    hosts = judged.where("host <> ''").select("host").distinct()
+    known = reputations(seen.where("host <> ''"), confidence, hosts).select("host", "reputation", "bound")
     out = judged.withColumn("rule", rule).withColumn("ruled", verdict).join(known, "host", "left")
     own = F.when(F.col("bound") > tolerated, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "reputation", "bound")

@@ -198,6 +198,19 @@ def test_url_rules_and_reputation(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages.where("page_id >= 100"), outcomes.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_without_labels_follow_their_kin(spark):
+    rows = [(i, f"http://h{i % 20}.{'bad' if i % 2 else 'good'}.org/{i}") for i in range(400)]
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(400)], "page_id long, bad int")
+    fresh = [(1000, "http://new.bad.org/"), (1001, "http://new.good.org/"), (1002, "http://other.org/"), (1003, "http://a.new.io/")]
+    pages = spark.createDataFrame(rows + fresh, "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes).collect()}
+    assert [got[i].verdict for i in range(1000, 1004)] == ["block", "allow", "allow", "allow"]
+    assert got[1000].reputation > 0.9 and got[1001].reputation < 0.1
+    assert got[1002].reputation == pytest.approx(got[1003].reputation, abs=0.05) == pytest.approx(0.5, abs=0.05)
+    labelled = {r.page_id: r for r in url_filter.filter_urls(pages.where("page_id < 1000"), outcomes).collect()}
+    assert all(got[i] == labelled[i] for i in range(400))  # judging more hosts changes none of the labelled ones
+
+
 def test_beta_quantile():
     q = url_filter.beta_quantile(0.05, np.array([1.0, 2.0, 50.0]), np.array([1.0, 2.0, 1.0]))
     assert q == pytest.approx([0.05, 0.13535, 0.05 ** (1 / 50)], abs=1e-4)
