@@ -31,6 +31,17 @@ from .runtime import cut
 
 # The rules of the contract, as (host and its subdomains, start of the path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+# Public suffixes of two labels, the common ones; the whole list can be passed instead.
+SUFFIXES = tuple(
+    f"{second}.{top}"
+    for top, seconds in {
+        "ar": "com edu gob net org", "au": "com edu gov id net org", "br": "com edu gov net org", "cn": "ac com edu gov net org", "hk": "com edu gov net org", "id": "ac co go or web",
+        "il": "ac co gov net org", "in": "ac co edu gov net org", "jp": "ac co ed go gr lg ne or", "ke": "ac co go ne or", "kr": "ac co go ne or re", "mx": "com edu gob net org",
+        "my": "com edu gov net org", "nz": "ac co geek govt iwi maori net org school", "ph": "com edu gov net org", "pl": "com edu gov net org", "sg": "com edu gov net org",
+        "th": "ac co go in or", "tr": "com edu gov net org", "tw": "com edu gov net org", "ua": "com edu gov net org", "uk": "ac co gov ltd me net nhs org plc police sch", "za": "ac co gov net org web",
+    }.items()
+    for second in seconds.split()
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,13 +63,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def _owner(host: Column) -> tuple[Column, Column]:
+    """(host without its port, whether it is an IP address)."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    return name, name.rlike(r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the public suffix and the label before it; an IP address is whole."""
+    name, address = _owner(host)
+    return F.when(address, name).when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: two labels if those are in `suffixes`, else one."""
+    name, address = _owner(host)
+    last = F.substring_index(name, ".", -2)
+    return F.when(address, name).when(last.isin(*suffixes), last).otherwise(F.substring_index(name, ".", -1))
 
 
 def concentration(level: DataFrame, mean: str, least: float = 2.0, most: float = 1000.0) -> Column:
@@ -99,14 +120,14 @@ def beta_quantile(level: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame | None = None) -> DataFrame:
+def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, n, bad, reputation (posterior mean of the bad rate), bound (its lower posterior bound).
 
     `labelled` has host and bad (0 or 1, null: no label); `hosts` has distinct hosts to judge besides
     the labelled ones. Without labels nothing is judged.
     """
     host = labelled.where("bad is not null").groupBy("host").agg(F.sum("bad").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
-    host = host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    host = host.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     host = cut(host)  # a row per labelled host, read at each level
     domain = host.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffix = domain.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
@@ -129,7 +150,7 @@ def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame
     new = [None, None, None]
     if hosts is not None:
         # Groups without labels at each level: a fitted mean is the parent's, as their counts are 0.
-        fresh = hosts.select("host").join(host.select("host"), "host", "left_anti").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+        fresh = hosts.select("host").join(host.select("host"), "host", "left_anti").withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
         fresh = cut(fresh)
         domains = fresh.select("domain", "suffix").distinct().join(domain.select("domain"), "domain", "left_anti")
         new = [domains.select("suffix").distinct().join(suffix.select("suffix"), "suffix", "left_anti"), domains, fresh]
@@ -154,6 +175,7 @@ def filter_urls(
     confidence: float = 0.95,
     page_id: str = "page_id",
     url: str = "url",
+    suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation, bound for each page.
 
@@ -163,7 +185,7 @@ def filter_urls(
     judged = pages.select(F.col(page_id).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = judged.select("page_id", "host").join(outcomes.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")), "page_id")
     hosts = judged.where("host <> ''").select("host").distinct()
-    known = reputations(seen.where("host <> ''"), confidence, hosts).select("host", "reputation", "bound")
+    known = reputations(seen.where("host <> ''"), confidence, hosts, suffixes).select("host", "reputation", "bound")
     out = judged.withColumn("rule", rule).withColumn("ruled", verdict).join(known, "host", "left")
     own = F.when(F.col("bound") > tolerated, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "reputation", "bound")

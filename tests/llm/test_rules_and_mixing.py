@@ -211,6 +211,16 @@ def test_hosts_without_labels_follow_their_kin(spark):
     assert all(got[i] == labelled[i] for i in range(400))  # judging more hosts changes none of the labelled ones
 
 
+def test_owners_of_hosts(spark):
+    want = {
+        "a.foo.co.uk": ("foo.co.uk", "co.uk"), "bar.co.uk:8080": ("bar.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.b.net:80": ("b.net", "net"), "b.net": ("b.net", "net"),
+        "10.0.0.1:81": ("10.0.0.1", "10.0.0.1"), "10.9.0.1": ("10.9.0.1", "10.9.0.1"), "[2001:db8::1]:80": ("[2001:db8::1]", "[2001:db8::1]"), "local": ("local", "local"),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    got = rows.select("host", url_filter.domain_of(rows.host).alias("d"), url_filter.suffix_of(rows.host).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == want
+
+
 def test_beta_quantile():
     q = url_filter.beta_quantile(0.05, np.array([1.0, 2.0, 50.0]), np.array([1.0, 2.0, 1.0]))
     assert q == pytest.approx([0.05, 0.13535, 0.05 ** (1 / 50)], abs=1e-4)
