@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import components
-from .runtime import cut
+from .runtime import cut, small
 from .textkernel import LAST, Words, each_words, grams, inside, mix
 
 U = np.uint64
@@ -292,11 +292,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = cut(classes)
     posted = cut(postings(docs, reps.where("rep is not null").select(F.col("rep").alias("doc_id")), k, percent, doc_id, text), release=True)
-    joined = components(links(posted, percent), "x", "y")
-    # Rows that repeat an id tie their classes together.
+    # Rows that repeat an id are one node: it ties their classes together.
+    several = cut(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("z")).where("a <> z").select("doc_id"))
+    ties = signed.where("n_shingles > 0").join(small(several), "doc_id").select("doc_id", *key).distinct().join(reps, key).where("doc_id <> rep")
+    edges = links(posted, percent).select("x", "y").unionByName(ties.select(F.col("rep").alias("x"), F.col("doc_id").alias("y")))
+    joined = components(edges, "x", "y")
     placed = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(placed, key, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    own = joined.withColumnRenamed("node", "doc_id").join(several, "doc_id").select("doc_id", "component")  # for their rows without words
+    out = signed.join(placed, key, "left").join(small(cut(own)), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -79,6 +79,14 @@ def test_components_as_by_brute_force(docs, rows):
     assert [m[:2] for m in mine] == [t[:2] for t in theirs]
 
 
+def test_rows_that_repeat_an_id_tie_their_classes(spark, docs, rows):
+    key = lambda v: -1 if v is None else v
+    placed = lambda d: sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in ngram_join.near_duplicates(d).collect())
+    assert placed(docs) == brute_components(rows)
+    few = [(1, "a b c"), (5, "a b c"), (5, "d e f"), (3, "d e f"), (7, "d e f"), (5, " "), (7, "g h"), (9, "g h"), (8, None)]
+    assert placed(spark.createDataFrame(few, "doc_id long, text string")) == brute_components(few)
+
+
 def test_one_of_each_group_stays(docs, rows):
     out = ngram_join.keep_one(docs)
     assert out.columns == docs.columns
