@@ -143,8 +143,6 @@ def infer(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             value -= k * PENALTY * np.log1p(per)
             better = value > best
             best[better], chosen[better] = value[better], q[better]
-            if not better.any():
-                break
         parts.append(chosen)
         known.append(per > 0)
     return (np.concatenate(parts), np.concatenate(known)) if parts else (np.zeros((0, n)), np.zeros(0, bool))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,18 @@ def test_two_languages_in_one_document(tables, spark):
     assert {"en", "fr"} <= set(got.mixture) and sum(got.mixture.values()) == pytest.approx(1)
 
 
+def test_mixture_does_not_depend_on_batch_neighbours():
+    """A second language too weak to pay for itself, and a third that pays for both."""
+    log = np.full((language_id.BUCKETS, 3), -5.0, np.float32)
+    for c, row in zip("xyz", ((-1, -5, -5), (-2, -1.955, -5), (-5, -5, -1)), strict=True):
+        log[language_id.trigrams(np.frombuffer(c.encode() * 3, np.uint8))[0]] = row
+    model = language_id.Model(["a", "b", "c"], log)
+    text = "x" * 640 + "y" * 384 + "z" * 192
+    alone, _ = language_id.infer(model, pa.array([text]))
+    beside, _ = language_id.infer(model, pa.array([text, "x" * 640 + "z" * 640]))
+    assert (alone[0] == beside[0]).all() and (alone[0] > 0).sum() == 3
+
+
 def test_quality_of_held_out_documents(tables, docs, empty):
     rows, labels = tables
     train = fold("doc_id", 5) != 0
