@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tessera.functions import sentiment, text
-from tessera.operators import dedup, history, metrics, sampling, spans, validation
+from tessera.operators import dedup, history, metrics, retrieval, sampling, spans, validation
 from tessera.sources import datasets, imports, jsonl, sinks
 
 
@@ -187,3 +187,9 @@ def test_all_pages_are_cleaned_as_by_brute_force(spark, tmp_path):
     got = {r.page_id: r.cleaned for r in driver.queries()["clean_pages"](spark, str(tmp_path)).collect()}
     assert any("@" in p for p in pages[:-6] if p)
     assert got == {i: hashlib.sha256(brute(p).encode()).hexdigest() for i, p in enumerate(pages)}
+
+
+def test_production_budget_cuts_long_texts(spark):
+    rows = spark.createDataFrame([("q", i, 9 - i, chr(97 + i) * 7000) for i in range(4)], "key string, item int, score int, text string")
+    got = retrieval.within_budget(rows, ["key"], "item").orderBy("place").collect()
+    assert [r.text for r in got] == ["a" * 7000, "b" * 7000, "c" * 4000]
