@@ -34,10 +34,15 @@ def plan_blocks(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return max(LEAST, -(-volume // BLOCK_BYTES)), max(LEAST, -(-volume // (BYTES_PER_HASH * HASHES_PER_RANGE)))
 
 
-def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """block, doc_id and text of each row; other columns that are to come along as a struct `rest`."""
+def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text", rest: tuple[str, ...] = (), by_row: bool = True) -> DataFrame:
+    """block, doc_id and text of each row; other columns that are to come along as a struct `rest`.
+
+    Dealt by id and text, so that rows without an id, or with one in common, are no single block; with
+    `by_row` false by the id alone, so that an id tells its block.
+    """
+    dealt = (F.col(doc_id), F.col(text)) if by_row else (F.col(doc_id).cast("long"),)
     return docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(*dealt), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
         *([F.struct(*(F.col(c) for c in rest)).alias("rest")] if rest else []),

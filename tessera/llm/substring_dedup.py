@@ -11,8 +11,9 @@ Edges are the windows of `k` words, nodes the k-1 words that two windows share.
 3. Compaction. A nonbranching path is a run of repeated edges with one successor and predecessor
    everywhere, so all documents cut it alike; each occurrence is one row (document, start, edges).
 4. Joins. Paths are grouped for the smallest document; occurrences joined to them become spans of
-   words to remove. The join key holds a 128-bit hash of the path's words and its length, taken at
-   the source coordinates, so that a clash of the shorter hashes of 1 and 2 only cuts a path.
+   words to remove. They are verified at their source coordinates: the join key is a cryptographic
+   digest (128 bits of BLAKE2) of the words that stand there, and their number, so that a clash of the
+   64-bit hashes of 1 and 2 only cuts a path and never removes other words.
 
 Defined results: null text has no words; null ids sort last and are never the smaller document;
 rows with one id are the same document, and none of them loses words to another; documents under
@@ -21,6 +22,8 @@ k words lose none; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .runtime import cut
-from .textkernel import LAST, each_words, grams, inside, mix
+from .textkernel import LAST, Words, each_words, grams, inside
 
 U = np.uint64
 OCCURRENCE = "block int, doc_id long, nth int, key_a long, key_b long, edges int, starts array<int>"
@@ -54,12 +57,12 @@ def nth_of_id(ids: np.ndarray) -> np.ndarray:
 
 
 def windows_of(texts: pa.ChunkedArray, k: int):
-    """(row of each window, position of each window, word hashes, ok) chunk by chunk."""
+    """(row of each window, position of each window, words, word hashes, ok) chunk by chunk."""
     for base, words in each_words(texts):
         h = words.hashes()
         ok = np.flatnonzero(inside(words.first, k))
         doc = words.doc()[ok] if len(ok) else ok
-        yield base + doc, ok - words.first[doc], h, ok
+        yield base + doc, ok - words.first[doc], words, h, ok
 
 
 def distinct(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +83,7 @@ def distinct(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _anchors(group: pa.Table, k: int, m: int):
     ids, texts = X.ordered(group)
     rows, mins = [], []
-    for row, _, h, ok in windows_of(texts, k):
+    for row, _, _, h, ok in windows_of(texts, k):
         v = minimizers(h, k, m)[ok]
         if len(v):
             keep = np.ones(len(v), bool)
@@ -112,12 +115,12 @@ def _reply_anchors(payloads, lengths):
 
 
 def _edges(group: pa.Table, answers: pa.Table, ranges: int, k: int, m: int):
-    """Candidate windows of a block: row, position, edge hash, previous and next edge (0 without)."""
+    """Candidate windows of a block: ids, row, position, edge hash, and the words with each window's first."""
     ids, texts, anchors, _ = _anchors(group, k, m)
     told = X.answers_in_order(answers)
     sizes = X.sizes(anchors, ranges)
     repeated = anchors[np.concatenate([X.unpack_bits(a[0], n) for a, n in zip(told, sizes, strict=True)])] if len(anchors) else anchors
-    for row, pos, h, ok in windows_of(texts, k):
+    for row, pos, words, h, ok in windows_of(texts, k):
         if not len(ok):
             continue
         v = minimizers(h, k, m)[ok]
@@ -129,7 +132,7 @@ def _edges(group: pa.Table, answers: pa.Table, ranges: int, k: int, m: int):
             continue
         e = grams(h, k, 2)[ok][hit]
         e[e == 0] = 1
-        yield ids, row[hit], pos[hit], e, (h, ok[hit])
+        yield ids, row[hit], pos[hit], e, (words, ok[hit])
 
 
 def _neighbours(row: np.ndarray, pos: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +152,23 @@ def _gather(group: pa.Table, answers: pa.Table, ranges: int, k: int, m: int):
     return ids, row, pos, e, [p[4] for p in parts]
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    return (x >> U(24)).astype(np.uint32)
+def _digests(parts: list[tuple[Words, np.ndarray]], at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(paths, 2) digests of the words of paths, joined by one blank. at: place of a path's first window
+    among those of all parts; words: how many it has."""
+    bounds = np.cumsum([0, *(len(first) for _, first in parts)])
+    out = []
+    for (found, first), low, high in zip(parts, bounds[:-1], bounds[1:], strict=True):
+        mine = slice(*np.searchsorted(at, (low, high)))
+        head = first[at[mine] - low]
+        last = head + words[mine] - 1
+        wide = np.ones(len(found.start), np.int64)  # gaps before a word that are not one blank
+        wide[1:] = (found.start[1:] - found.end[:-1] != 1) | (found.data[found.end[:-1]] != 32)
+        wide = np.cumsum(wide)
+        raw = found.data.tobytes()
+        for a, b, i, j, same in zip(found.start[head].tolist(), found.end[last].tolist(), head.tolist(), last.tolist(), (wide[head] == wide[last]).tolist(), strict=True):
+            text = raw[a:b] if same else b" ".join([raw[x:y] for x, y in zip(found.start[i : j + 1].tolist(), found.end[i : j + 1].tolist(), strict=True)])
+            out.append(blake2b(text, digest_size=16).digest())
+    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
 
 
 def _merge(head: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +182,7 @@ def _merge(head: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> tu
 
 def _reply_edges(payloads, lengths):
     key, several, source = _flags(payloads, lengths, 8)
-    columns = [np.concatenate([np.frombuffer(p[i], np.uint32) for p in payloads]) for i in (1, 2)]
+    columns = [np.concatenate([np.frombuffer(p[i], U) for p in payloads]) for i in (1, 2)]
     branch = [np.concatenate([X.unpack_bits(p[i], n) for p, n in zip(payloads, lengths, strict=True)]) for i in (3, 4)]
     _, place, count = np.unique(key, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -197,8 +215,8 @@ def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "do
         ids, row, pos, e, _ = got
         before, after = _neighbours(row, pos, e)
         key, several, place = distinct(e, ids[row])
-        one_before, fork_before = _merge(key, place, _short(before), len(key))
-        one_after, fork_after = _merge(key, place, _short(after), len(key))
+        one_before, fork_before = _merge(key, place, before, len(key))
+        one_after, fork_after = _merge(key, place, after, len(key))
         return X.send(group["block"][0].as_py(), key, [key, one_before, one_after], ranges, [fork_before, fork_after, several])
 
     edges = X.answer(dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_edges, X.PAYLOAD), _reply_edges)
@@ -218,17 +236,15 @@ def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "do
         sizes = X.sizes(key, ranges)
         place = np.searchsorted(key, e)
         shared, fork_before, fork_after = (np.concatenate([X.unpack_bits(a[i], n) for a, n in zip(told, sizes, strict=True)])[place] for i in range(3))
-        second = np.concatenate([mix(grams(h, k, 3)[ok]) for h, ok in where])
-        row, pos, e, second, fork_before, fork_after = (x[shared] for x in (row, pos, e, second, fork_before, fork_after))
-        if not len(e):
+        at_all = np.flatnonzero(shared)
+        row, pos, fork_before, fork_after = (x[shared] for x in (row, pos, fork_before, fork_after))
+        if not len(at_all):
             return none
-        begins = np.ones(len(e), bool)
+        begins = np.ones(len(row), bool)
         begins[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | fork_after[:-1] | fork_before[1:]
         at = np.flatnonzero(begins)
-        edges_in = np.diff(np.append(at, len(e)))
-        # The first and last window fix a path's words up to 2k; all windows together fix the rest.
-        content = np.add.reduceat(mix(second + np.uint64(7) * (np.arange(len(e)) - np.repeat(at, edges_in)).astype(U)), at)
-        a, b = e[at], mix(content ^ e[at + edges_in - 1])
+        edges_in = np.diff(np.append(at, len(row)))
+        a, b = _digests(where, at_all[at], edges_in + k - 1).T
         order = np.lexsort((pos[at], edges_in, b, a, row[at]))
         a, b, length, r, p = a[order], b[order], edges_in[order], row[at][order], pos[at][order]
         new = np.ones(len(a), bool)
@@ -239,8 +255,8 @@ def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "do
                 "block": pa.array(np.full(len(head), group["block"][0].as_py()), pa.int32()),
                 "doc_id": pa.array(ids[r[head]]),
                 "nth": pa.array(nth_of_id(ids)[r[head]], pa.int32()),
-                "key_a": pa.array(a[head].view(np.int64)),
-                "key_b": pa.array(b[head].view(np.int64)),
+                "key_a": pa.array(a[head]),
+                "key_b": pa.array(b[head]),
                 "edges": pa.array(length[head], pa.int32()),
                 "starts": pa.ListArray.from_arrays(pa.array(np.append(head, len(a)), pa.int32()), pa.array(p, pa.int32())),
             }
