@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -112,7 +112,7 @@ def choose_matches(df: np.ndarray, n: int, least: int) -> int:
 def postings(docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each representative that shares a prefix shingle: its prefix (with levels) and whole set."""
     blocks, ranges = X.plan_blocks(docs, text)
-    dealt = X.in_blocks(docs, blocks, doc_id, text)
+    dealt = X.in_blocks(docs.where(F.col(doc_id).isNotNull()), blocks, doc_id, text, by_row=False)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     chosen = reps.select(block, F.lit(-1).alias("range"), F.lit(None).cast("array<binary>").alias("answer"), "doc_id")
 
@@ -309,7 +309,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_
     Of rows that repeat an id, the first by text stays; rows without an id all stay.
     """
     placed = near_duplicates(docs, k, percent, doc_id, text)
-    stay = placed.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    first = Window.partitionBy(doc_id).orderBy(text)
-    kept = docs.join(stay, doc_id, "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    stay = cut(placed.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    once = rows.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi").select("row.*")
+    # Ids that repeat: the first by text, as a partial aggregate, so that no id's rows meet in one task.
+    several = rows.join(small(stay.where("n > 1").select("doc_id")), "doc_id", "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by("row", F.struct("text")).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.where(F.col(doc_id).isNull()))
