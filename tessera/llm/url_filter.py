@@ -179,11 +179,12 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation, bound for each page.
 
-    `outcomes` has page_id and bad; a page may have several outcomes.
+    `outcomes` has page_id and bad; a page may have several outcomes. Rows that repeat a page_id and a
+    host are one page, so that its outcomes count once.
     """
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(page_id).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    seen = judged.select("page_id", "host").join(outcomes.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")), "page_id")
+    seen = judged.select("page_id", "host").distinct().join(outcomes.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")), "page_id")
     hosts = judged.where("host <> ''").select("host").distinct()
     known = reputations(seen.where("host <> ''"), confidence, hosts, suffixes).select("host", "reputation", "bound")
     out = judged.withColumn("rule", rule).withColumn("ruled", verdict).join(known, "host", "left")
@@ -191,8 +192,12 @@ def filter_urls(
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "reputation", "bound")
 
 
+def _bad() -> Column:
+    return F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
+
+
 def outcomes_from_labels(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Outcomes of pages whose path ends in the id of a labelled document: bad if of low quality or toxic."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), _bad().alias("bad")).distinct()
     named = pages.select(F.col(page_id).alias("page_id"), F.try_to_number(F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:/|\.html)?$", 1), F.lit("9" * 18)).cast("long").alias("doc_id"))
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
-    return named.where("doc_id is not null").join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), bad.alias("bad")), "doc_id").where("bad is not null").select("page_id", "bad")
+    return named.where("doc_id is not null").distinct().join(known.where("bad is not null"), "doc_id").select("page_id", "bad")
