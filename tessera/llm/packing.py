@@ -19,6 +19,7 @@ repeat an id are packed each; piece numbers start at 0 for each row; an empty ta
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -79,6 +80,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        # Whether case is folded before anything else; words are put aside by case only then.
+        normalizer = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
+        steps = normalizer.get("normalizers", [normalizer])
+        self.lower = any(s.get("type") == "Lowercase" or (s.get("type") == "BertNormalizer" and s.get("lowercase")) for s in steps)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
@@ -109,7 +114,8 @@ class Encoder:
         simple = parts.is_valid().to_numpy(zero_copy_only=False)
         at, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
         parts = parts.take(pa.array(at))
-        core, tail = pc.utf8_lower(pc.struct_field(parts, "core")).dictionary_encode(), pc.struct_field(parts, "tail").dictionary_encode()
+        core = pc.struct_field(parts, "core")
+        core, tail = (pc.utf8_lower(core) if self.lower else core).dictionary_encode(), pc.struct_field(parts, "tail").dictionary_encode()
         cores, tails, others = self.plain(core.dictionary.to_pylist()), self.one_by_one(tail.dictionary.to_pylist()), self.one_by_one(words.take(pa.array(rest)).to_pylist())
         c, t = core.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False)
         size = np.zeros(len(words), np.int64)
@@ -171,7 +177,12 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id:
 
 
 def patterns(have: np.ndarray, capacity: int, partners: int = 24) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill a sequence exactly, from lengths that occur."""
+    """Rows of up to three lengths (0: none) that fill a sequence exactly, from lengths that occur.
+
+    All pairs are candidates. Of triples those with a middle length out of `partners` ones, spread over the
+    commonest 16 * `partners` lengths: the least squares need no more to choose from, and what the patterns
+    leave over is packed all the same.
+    """
     exists = np.zeros(capacity + 1, bool)
     lengths = np.flatnonzero(have)
     exists[lengths] = True
@@ -291,18 +302,21 @@ def places(kinds: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarr
     return {length: np.array(r, np.int64) for length, r in runs.items()}
 
 
-PARTS = 64
+PART_ROWS = 20000
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    pieces = cut(tokenize(docs, tokenizer, capacity, doc_id, text).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")))
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    line = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select("length", "part", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("ahead"))
+    pieces = cut(tokenize(docs, tokenizer, capacity, doc_id, text))
     have = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         have[r["length"]] = r["n"]
+    # As many parts of the commonest length as hold about `PART_ROWS` pieces each.
+    parts = max(16, -(-int(have.max()) // PART_ROWS))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("length", "part", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("ahead"))
     runs = places(plan(have, capacity))
 
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
