@@ -4,7 +4,8 @@ A word (lower-cased, without ASCII punctuation at its ends) is embedded as the s
 hashed tables, so that words which share one row still differ. Filters of widths 1, 2 and 3 run over
 the words, each is max-pooled over the whole text, and a logistic layer reads the pooled values.
 Embeddings, filters and the layer are trained together with Adam on a bounded sample of labelled
-rows (`PER_CLASS` documents of each class, the lowest by a hash of their ids). The first embedding
+rows: `PER_CLASS` documents of each class, the lowest by a hash of their ids, as far as `MOST_WORDS` words
+of each class go, whole texts of any length. The first embedding
 column of each table starts at the smoothed log odds of its words in the sample.
 
 Thresholds are calibrated by language on all labelled rows that are not trained on, each class weighed
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import language_id
 from .learning import bounded, sampled_texts
+from .runtime import cut
 from .textkernel import U, chunks, find_words, mix, span_hashes
 
 PER_CLASS = 3000
-LONGEST = 20000  # words of a training document; longer ones are not trained on
+MOST_WORDS = 4_000_000  # of each class, in the sample that is trained on
 ROWS = 1 << 16
 DIM = 12
 FILTERS = 12
@@ -209,8 +211,9 @@ def calibrate(net: Network, seen: DataFrame, labels: DataFrame, used: DataFrame,
             net.shift[name] = shift(mine)
 
 
-def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word rows, labels and ids of a bounded sample of documents."""
+def _sample(rows: DataFrame, most_words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word rows, labels and ids of a bounded sample of documents: of each class in the order of the hash of
+    their ids, until the words are used up; its first document in any case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,17 +223,23 @@ def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
                 yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "toxic": batch["toxic"].slice(i, j - i), "words": pa.array(packed, pa.binary())})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, words binary").where(F.octet_length("words") <= 8 * LONGEST).toPandas()
+    coded = cut(rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, words binary"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")  # a class of the bounded sample
+    used = F.sum(F.octet_length("words").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = coded.select("doc_id", "toxic", F.octet_length("words").alias("size"), used.alias("used"), F.row_number().over(order).alias("nth")).where((F.col("used") <= 8 * most_words) | (F.col("nth") == 1))
+    got = coded.join(F.broadcast(within.select("doc_id").distinct()), "doc_id", "left_semi").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     return [np.frombuffer(x, np.int32).reshape(-1, 2) for x in got["words"]], got["toxic"].to_numpy(float), got["doc_id"].to_numpy()
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> tuple[Network, DataFrame] | None:
+def fit_weights(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS
+) -> tuple[Network, DataFrame] | None:
     """The network without thresholds, and the ids (doc_id) that it was trained on; None without both classes."""
     known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = bounded(known.where("toxic = 1"), per_class, 3).unionByName(bounded(known.where("toxic = 0"), per_class, 4))
     texts = sampled_texts(docs, chosen, doc_id, text)
-    words, y, ids = _sample(texts)
+    words, y, ids = _sample(texts, most_words)
     if not 0 < y.sum() < len(y):
         return None
     held = np.arange(len(y)) % 4 == 3
