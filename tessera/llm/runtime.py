@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 
@@ -14,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; a private folder only where none is named (tests)."""
+    """Use the cluster's `spark.checkpoint.dir`; a private folder only in local mode, where none is named (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
 
 
