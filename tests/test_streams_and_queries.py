@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +71,16 @@ def test_against_sql(spark, name):
     place = [[c[0] for c in result.description].index(c) for c in got.columns]
     plain = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
     assert plain(tuple(r) for r in got.collect()) == plain([r[i] for i in place] for r in result.fetchall())
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """A copy without both folders, with and without the pipeline's file, still imports and has its queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for name in ("corpus_pipeline.py", None):
+        if name and (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'product_aspect_ranking' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q), q"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
