@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,17 @@ def seed_products(products: DataFrame, seeds: DataFrame) -> DataFrame:
     return products.unionByName(seeds.dropDuplicates(["product_id"]).join(products.select("product_id"), "product_id", "left_anti").select(*products.columns))
 
 
+# Fixed value: the name space of URLs, of RFC 4122.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, space: str = URL_SPACE) -> Column:
+    """The id of a name within a name space, by SHA-1, as RFC 4122 says."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), name.cast("binary")))
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8).cast("bigint")))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def active_counts(jobs: DataFrame, previews: DataFrame, now) -> DataFrame:
     j = jobs.agg(F.count_if(F.col("status").isin("queued", "running")).alias("active_jobs"))
     p = previews.agg(F.count_if(F.col("status").isin("queued", "running") & (F.col("expires_at") > now)).alias("active_previews"))

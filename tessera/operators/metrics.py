@@ -118,3 +118,36 @@ def dataset_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Counts by each column alone, as grouping sets over one scan: (column, value, rows)."""
     names = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("s")
     return rows.select(names).groupBy("s.column", "s.value").count().withColumnRenamed("count", "rows")
+
+
+def normalization_recall(rows: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """label (`unknown` for null), correct, total and recall per gold label."""
+    g, p = F.coalesce(gold, F.lit("unknown")), F.coalesce(predicted, F.lit("unknown"))
+    per = rows.groupBy(g.alias("label")).agg(F.count_if(g == p).alias("correct"), F.count("*").alias("total"))
+    return per.withColumn("recall", F.round(ratio(F.col("correct"), F.col("total")), 9))
+
+
+# What a held-out evaluation must reach, and the older baselines that it must beat.
+GATES = {"span_f1": 0.70, "macro_f1": 0.65, "recall": 0.5, "rule_baseline": 0.36719286204529855, "tfidf_baseline": 0.6173789003975411}
+
+
+def gates(span_f1: DataFrame, per_class: DataFrame) -> DataFrame:
+    """gate, passed. span_f1: one row with f1; per_class: label, recall, f1."""
+    macro = per_class.agg(F.avg("f1").alias("macro_f1"), F.min("recall").alias("least"))
+    one = span_f1.select(F.col("f1").alias("span_f1")).crossJoin(F.broadcast(macro))  # one row each
+    span, f, least = F.col("span_f1"), F.col("macro_f1"), F.col("least")
+    checks = {
+        "span_f1": span >= GATES["span_f1"],
+        "span_f1_above_rules": span > GATES["rule_baseline"],
+        "macro_f1": f >= GATES["macro_f1"],
+        "every_recall": least >= GATES["recall"],
+        "macro_f1_above_tfidf": f > GATES["tfidf_baseline"],
+    }
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in checks.items()))).alias("g")).select("g.*")
+
+
+def token_metrics(rows: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """Accuracy and macro averages over tokens. rows: two arrays of labels; tokens beyond the shorter one are
+    left out, as are those without a gold label."""
+    pairs = rows.select(F.explode(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p"))).alias("t")).select(F.col("t.g").alias("gold"), F.col("t.p").alias("predicted"))
+    return overall(pairs.where("gold is not null and predicted is not null"))
