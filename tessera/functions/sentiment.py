@@ -77,6 +77,7 @@ def clause_context(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Data
 
     Clauses end at but, however, although and while, and at sentence ends other than after a title.
     """
+    # What ends a clause, and the titles whose full stop does not.
     border = re.compile(r"\b(?:but|however|although|while)\b|[.!?]+(?=\s|$)", re.IGNORECASE)
     title = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr)\.$", re.IGNORECASE)
     out = []
@@ -86,7 +87,7 @@ def clause_context(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Data
             continue
         chosen, low = (t, 0, len(t)), 0
         for m in [*border.finditer(t), None]:
-            if m is not None and m.group()[0] == "." and title.search(t[: m.end()]):
+            if m is not None and m.group()[0] == "." and title.search(t, max(0, m.end() - 8), m.end()):
                 continue
             high = m.start() if m else len(t)
             if low <= s and e <= high:

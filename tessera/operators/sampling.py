@@ -88,11 +88,13 @@ def with_validation(rows: DataFrame, key: str, split: str = "split") -> DataFram
 
 def stratified(rows: DataFrame, label: str, item: str, labels: list[str], per_split: int, seed: str = "annotation-v1") -> DataFrame:
     """Per label in hash order, dealt round robin over the labels to development and held out in turn."""
+    # Only the first `2 * per_split / labels` of a label can be taken; filtered by rank, so that Spark keeps no more.
     order = Window.partitionBy(label).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")), 256), item)
     index = F.element_at(F.create_map(*(F.lit(x) for i, v in enumerate(labels) for x in (v, i))), F.col(label))
-    rows = rows.where(F.col(label).isin(*labels)).withColumn("_nth", F.row_number().over(order) - 1).withColumn("position", (F.col("_nth") * len(labels) + index).cast("int"))
-    rows = rows.where(F.col("position") < 2 * per_split)
-    return rows.withColumn("split", F.when(F.col("_nth") % 2 == 0, "development").otherwise("heldout")).drop("_nth")
+    most = -(-2 * per_split // len(labels))
+    rows = rows.where(F.col(label).isin(*labels)).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    rows = rows.withColumn("position", ((F.col("_rank") - 1) * len(labels) + index).cast("int")).where(F.col("position") < 2 * per_split)
+    return rows.withColumn("split", F.when(F.col("_rank") % 2 == 1, "development").otherwise("heldout")).drop("_rank")
 
 
 def duplicate_groups(rows: DataFrame, key: str, item: str, label: str) -> DataFrame:

@@ -25,6 +25,14 @@ def whole(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("content", F.when(size <= MOST_BYTES, F.col("content")).otherwise(F.raise_error(F.lit("import exceeds 10 MiB"))))
 
 
+def limits(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """file, bytes, rows and the error of each file: too large, no rows, or too many."""
+    n = rows.groupBy("file").agg(F.count("*").alias("rows"))
+    out = files.select("file", F.octet_length("content").alias("bytes")).join(n, "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    error = F.when(F.col("bytes") > MOST_BYTES, "too_large").when(F.col("rows") == 0, "empty").when(F.col("rows") > MOST_ROWS, "too_many_rows")
+    return out.withColumn("error", error)
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """rows with their file: none, or more than the limit, is an error for the file."""
     n = rows.groupBy("file").agg(F.count("*").alias("rows"))
@@ -39,7 +47,7 @@ def text_lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(kept).alias("at", "value")).select("file", (F.col("at") + 1).alias("ordinal"), "value")
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+def csv_rows(files: DataFrame) -> DataFrame:
     """file, ordinal, record of a CSV with a header that names a text column; quoted fields may span lines.
 
     A malformed row, or a header without a text column, is an error.
@@ -57,7 +65,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
                 rows = [{k: v for k, v in r.items() if isinstance(k, str)} for r in reader]
                 yield pd.DataFrame({"file": name, "ordinal": range(1, len(rows) + 1), "record": rows})
 
-    return whole(spark, path).mapInPandas(parse, "file string, ordinal int, record map<string,string>")
+    return files.mapInPandas(parse, "file string, ordinal int, record map<string,string>")
 
 
 def _record(item) -> object:
@@ -85,12 +93,10 @@ def json_line_rows(files: DataFrame) -> DataFrame:
 def read_import(spark: SparkSession, path: str) -> DataFrame:
     """By the extension: file, ordinal and value (text) or record (the others)."""
     ending = path.rsplit(".", 1)[-1].lower()
-    if ending == "csv":
-        return csv_rows(spark, path)
-    if ending not in ("txt", "json", "jsonl", "ndjson"):
+    if ending not in ("csv", "txt", "json", "jsonl", "ndjson"):
         raise ValueError(f"unsupported import type: .{ending}")
     files = whole(spark, path)
-    return {"txt": text_lines, "json": json_rows}.get(ending, json_line_rows)(files)
+    return {"csv": csv_rows, "txt": text_lines, "json": json_rows}.get(ending, json_line_rows)(files)
 
 
 def pasted(rows: DataFrame, column: str = "content") -> DataFrame:

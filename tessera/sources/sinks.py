@@ -48,10 +48,16 @@ def manifest(rows: DataFrame, **facts: str) -> DataFrame:
     return out.withColumns({k: F.lit(v) for k, v in facts.items()})
 
 
+def analysis_tables(analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, their mentions one a row)."""
+    mentions = analyses.select("review_id", "pipeline_version", F.posexplode("tags").alias("ordinal", "t"))
+    return analyses.drop("tags"), mentions.select("review_id", "pipeline_version", "ordinal", "t.*")
+
+
 def append_analyses(analyses: DataFrame, path: str) -> None:
-    """Runs, and their mentions one a row, appended to two tables."""
-    analyses.drop("tags").write.mode("append").parquet(f"{path}/runs")
-    analyses.select("review_id", "pipeline_version", F.posexplode("tags").alias("ordinal", "t")).select("review_id", "pipeline_version", "ordinal", "t.*").write.mode("append").parquet(f"{path}/mentions")
+    """Appended to two tables."""
+    for name, rows in zip(("runs", "mentions"), analysis_tables(analyses), strict=True):
+        rows.write.mode("append").parquet(f"{path}/{name}")
 
 
 def folder_hash(files: DataFrame) -> DataFrame:
