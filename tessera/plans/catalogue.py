@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ontology, sentiment, text
 from ..operators import catalog, dedup, history, metrics, reports, retrieval, sampling, spans, validation, votes
 from . import fixtures as fx
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from .registry import query
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,33 +534,6 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce(text.clean_review_text(F.col("html")), F.lit("")), 256).alias("cleaned"))
 
 
-def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences made from mentions, one review each; some begin with an emoji, to keep offsets honest."""
-    m = fx.mentions(spark, sf_dir)
-    first = lambda ix: F.element_at(F.array(*(F.lit(a[2][0]) for a in ontology.ASPECTS)), (ix % 21 + 1).cast("int"))
-    word = lambda ix: F.element_at(F.array(*(F.lit(w) for w in ("great", "terrible", "fine", "slow", "reliable"))), (ix % 5 + 1).cast("int"))
-    second = F.when(F.col("roll") % 3 == 0, F.concat(F.lit(", but the "), first(F.col("aspect_ix") + 5), F.lit(" is "), word(F.col("roll") + 2))).otherwise("")
-    lead = F.when(F.col("review_id") % 50 == 0, "😀 ").otherwise("")
-    body = F.concat(lead, F.lit("The "), first(F.col("aspect_ix")), F.lit(" is "), F.when(F.col("roll") % 4 == 1, "not ").otherwise(""), word(F.col("roll")), second, F.lit("."))
-    return m.select("product_id", "review_id", body.alias("review_text")).distinct()
-
-
-@query()
-def analyze_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.analyze(review_texts(spark, sf_dir)).drop("probabilities")
-
-
-@query()
-def extract_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_texts(spark, sf_dir).select("review_id", "review_text", F.explode(sentiment.extract_aspects(F.col("review_text"))).alias("a")).select("review_id", "review_text", "a.*")
-
-
-@query()
-def mention_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """None: what the analysis makes keeps its own rules."""
-    return validation.mentions(sentiment.analyze(review_texts(spark, sf_dir)), ["review_id", "start_char"])
-
-
 @query(
     "with w as (select unnest(['great', 'terrible', 'fine', 'slow', 'reliable']) as word), n as (select unnest(['', 'not ', 'no really ']) as neg), t as (select neg || word as text, word, neg from w, n), "
     "s as (select text, case when word = 'fine' then 0 when word in ('great', 'reliable') then 1 else -1 end * case when neg = '' then 1 else -1 end as sign from t) "
@@ -593,10 +551,3 @@ def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(spans.token_windows(F.split("text", " "))).alias("w"))
     return rows.select("doc_id", "w.window_index", "w.start", F.size("w.tokens").alias("size"))
-
-
-@query(f"with {fx.ASPECTS_SQL} select (select count(*) from a) as aspects, 0::bigint as violations")
-def insight_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _ranked(spark, sf_dir)
-    bad = validation.insights(table).agg(F.count("*").alias("violations"))
-    return table.agg(F.count("*").alias("aspects")).crossJoin(F.broadcast(bad))  # one row each
