@@ -35,7 +35,7 @@ from .runtime import cut
 CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 
 
 def slices(text: pa.Array, limit: int) -> Iterator[pa.Array]:

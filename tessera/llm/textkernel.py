@@ -16,21 +16,25 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 LAST = np.iinfo(np.int64).max
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+def _run(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n at least; only those of a slab of usual size are kept."""
+    size = 2 * CHUNK_BYTES
+    if n > size:  # a word or line longer than any slab
+        return _run(BASE, n), _run(INVERSE, n)
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        for k, base in enumerate((BASE, INVERSE)):
-            out = np.full(size, base, U)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[k] = out
+        _powers[:] = [_run(BASE, size), _run(INVERSE, size)]
     return _powers[0], _powers[1]
 
 
@@ -44,10 +48,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: a polynomial from prefix sums, then mixed."""
+    """A 64-bit hash of the bytes of each span, equal wherever the bytes stand.
+
+    Spans come in order and do not overlap, so a long text is hashed slab by slab and needs no more
+    memory than a slab, or than its longest span.
+    """
+    if len(data) <= CHUNK_BYTES or not len(start):
+        return _span_hashes(data, start, end)
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, side="right")))
+        low, high = start[i], end[j - 1]
+        out[i:j] = _span_hashes(data[low:high], start[i:j] - low, end[i:j] - low)
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial from prefix sums, then mixed."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
+    terms = total[1:]
+    terms += data
+    terms += U(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=terms)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
 
 
