@@ -52,17 +52,22 @@ def cited(answers: DataFrame, contexts: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("valid", F.coalesce((F.trim("quote") != "") & F.contains("text", "quote"), F.lit(False))).drop("text")
 
 
+MOST_PROTOTYPES = 10_000
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def nearest(queries: DataFrame, prototypes: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """queries: id, vector; prototypes: label, vector, a row per alias and no more than the ontology has.
+    """queries: id, vector; prototypes: label, vector, a row per alias: at most `MOST_PROTOTYPES`, which is checked.
 
     The best label by cosine; none within the tolerance of a second label or below the threshold.
     """
-    near = queries.crossJoin(F.broadcast(prototypes.select("label", F.col("vector").alias("_p"))))  # the ontology's aliases: fixed size
+    if prototypes.limit(MOST_PROTOTYPES + 1).count() > MOST_PROTOTYPES:
+        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes")
+    near = queries.crossJoin(F.broadcast(prototypes.select("label", F.col("vector").alias("_p"))))  # of checked size
     near = near.select("id", "label", cosine(F.col("vector"), F.col("_p")).alias("similarity")).groupBy("id", "label").agg(F.max("similarity").alias("similarity"))
     best = near.groupBy("id").agg(F.max(F.struct("similarity", F.col("label"))).alias("top"), F.sort_array(F.collect_list("similarity"), asc=False).alias("all"))
     tie = F.coalesce((F.get("all", F.lit(0)) - F.get("all", F.lit(1))) <= tolerance, F.lit(False))

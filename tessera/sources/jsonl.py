@@ -12,6 +12,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,12 +124,23 @@ class _BatchReader(SimpleDataSourceStreamReader):
         keys = options.get("keys")
         self.keys = set(keys.split(",")) if keys else None
         self.key = options.get("key", "parent_asin")
+        self.seen: tuple[int, int] | None = None
+
+    def _unchanged(self, sha256: str) -> bool:
+        """Whether the source is still the one that the stream began with: by its whole content once a run, by
+        its size and time of change for the batches after that."""
+        stat = os.stat(self.path)
+        now = (stat.st_size, stat.st_mtime_ns)
+        if now != self.seen and fingerprint(self.path) != sha256:
+            return False
+        self.seen = now
+        return True
 
     def initialOffset(self) -> dict:
         return {"cursor": 0, "line": 0, "sha256": fingerprint(self.path)}
 
     def _from(self, start: dict, stop: int | None) -> tuple[list[tuple], dict]:
-        if fingerprint(self.path) != start["sha256"]:
+        if not self._unchanged(start["sha256"]):
             raise ValueError("the import source changed since it was started")
         rows, taken, line = [], 0, start["line"]
         with open(self.path, "rb") as raw:

@@ -9,20 +9,24 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import votes
 
 
-def publish_batch(batch: DataFrame, path: str, epoch: int) -> None:
+BUCKETS = 64
+
+
+def publish_batch(batch: DataFrame, path: str, epoch: int, buckets: int = BUCKETS) -> None:
     """Appends the batch's mentions and writes new snapshots of its products.
 
     An epoch writes folders of its own number, so that a repeated epoch replaces what it wrote: results
-    count once. Mentions are kept by product bucket, so a batch reads only its products' buckets.
+    count once. Mentions are kept by product bucket (the same number of them for a path's whole life), and a
+    batch lists its buckets first, at most `buckets` numbers, so that it reads only their folders.
     """
     spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64("product_id"), F.lit(64)).cast("int")
+    bucket = F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int")
     batch = batch.withColumn("epoch", F.lit(epoch)).withColumn("bucket", bucket)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    batch.write.mode("overwrite").partitionBy("bucket", "epoch").parquet(f"{path}/mentions")
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{path}/mentions")
     touched = batch.select("product_id", "bucket").distinct()
-    saved = spark.read.parquet(f"{path}/mentions").where(F.col("epoch") <= epoch).join(touched, ["product_id", "bucket"], "left_semi")
-    table = votes.product_ranking(saved)
+    listed = [r[0] for r in touched.select("bucket").distinct().collect()]
+    mentions = spark.read.parquet(f"{path}/mentions").where(F.col("bucket").isin(listed) & (F.col("epoch") <= epoch))
+    table = votes.product_ranking(mentions.join(touched, ["product_id", "bucket"], "left_semi"))
     table.withColumn("data_revision", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/snapshots/epoch={epoch}")
 
 

@@ -37,6 +37,26 @@ def requests_with_ttl(stream: DataFrame, key: str, time: str, item: str, seconds
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {item} {kinds[item]}, reused boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def item_attempts(stream: DataFrame, item: str, kind: str, order: list[str], most: int = 3) -> DataFrame:
+    """Streaming form of `queue.item_states`: (item, attempts, status) whenever an item's events come in.
+
+    Failures since the last retry by hand are counted up to `most`; an item that was completed stays so.
+    """
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        failures, done = state.get if state.exists else (0, False)
+        for what in rows[kind]:
+            done = done or what == "completed"
+            failures = 0 if what == "retry" else failures + (what == "failed")
+        state.update((int(failures), bool(done)))
+        status = "completed" if done else "failed" if failures >= most else "pending"
+        yield pd.DataFrame({item: [k[0]], "attempts": [min(int(failures), most)], "status": [status]})
+
+    own = stream.schema[item].dataType.simpleString()
+    return stream.groupBy(item).applyInPandasWithState(step, f"{item} {own}, attempts int, status string", "failures int, done boolean", "update", GroupStateTimeout.NoTimeout)
+
+
 def last_seen(stream: DataFrame, key: str, time: str) -> DataFrame:
     """Latest heartbeat of each key, as a running aggregate; compare with the clock when read."""
     return stream.groupBy(key).agg(F.max(time).alias("seen"))

@@ -51,6 +51,18 @@ def test_windows_and_repeats(spark, tmp_path):
         assert spark.table(name).count() > 0
 
 
+def test_attempts_stream(spark, tmp_path):
+    events = [("a", 0, "failed"), ("a", 1, "failed"), ("b", 0, "completed"), ("a", 2, "failed"), ("a", 3, "retry"), ("b", 1, "failed")]
+    for i in (0, 3):
+        spark.createDataFrame(events[i : i + 3], "item string, at int, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("item string, at int, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = state.item_attempts(stream, "item", "kind", ["at"]).writeStream.format("memory").queryName("attempts").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = [tuple(r) for r in spark.table("attempts").collect()]
+    assert ("b", 0, "completed") in got or ("b", 1, "completed") in got
+    assert {g for g in got if g[0] == "a"} <= {("a", 2, "pending"), ("a", 0, "pending"), ("a", 3, "failed")} and ("a", 0, "pending") in got
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
