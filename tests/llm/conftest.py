@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType(
@@ -35,9 +36,17 @@ def corpus() -> list[tuple]:
     return [*rows, (None, base, None, None, 0, None, None, None), rows[40], (41, "another text of the same id", "en", "src1", 0, None, None, None)]
 
 
+# More names that operators use or used themselves.
+EXTRA = ("tie", "row", "rows", "copy", "rest", "stratum", "part", "class", "_tie", "_first", "_row", "_copies")
+
+
+def clashing(frame):
+    return frame.withColumns({c: F.concat(F.lit("x"), F.col("doc_id").cast("string")) for c in EXTRA})
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
-    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+    return clashing(spark.createDataFrame(corpus(), SCHEMA)).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
@@ -47,4 +56,4 @@ def rows():
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return clashing(spark.createDataFrame([], SCHEMA))

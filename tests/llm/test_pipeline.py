@@ -64,3 +64,15 @@ def test_run_gives_the_same(spark, folder):
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert got.select(*key).exceptAll(again.select(*key)).count() == again.select(*key).exceptAll(got.select(*key)).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_odd_tables(spark, docs, empty, folder):
+    """Null and repeated ids, clashing names, no rows: columns stay and nothing breaks."""
+    for table in (docs, empty):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder).checkpoint()
+            assert now.columns == table.columns, name
+            assert all(r.tie is None or r.tie == f"x{r.doc_id}" == r._row for r in now.select("doc_id", "tie", "_row").collect()), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, folder)
+        assert (packed.count() > 0) == (table is docs)

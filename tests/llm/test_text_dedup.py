@@ -74,9 +74,7 @@ def test_components_as_by_brute_force(docs, rows):
     key = lambda v: -1 if v is None else v
     mine = sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got)
     theirs = brute_components(rows)
-    # Rows that repeat an id are one node to the brute force as well, but only its last row's class ties in ours.
-    assert [m for m in mine if m[0] not in (40, 41)] == [t for t in theirs if t[0] not in (40, 41)]
-    assert [m[:2] for m in mine] == [t[:2] for t in theirs]
+    assert mine == theirs  # rows that repeat an id are one node
 
 
 def test_rows_that_repeat_an_id_tie_their_classes(spark, docs, rows):
