@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import words_column
+from .runtime import cut, words_column
 
 WEIGHTS = (3, 1, 2)  # fixed values: the contract's weights, repeating along the ordered sources
 
@@ -57,8 +57,8 @@ def uniform(*parts: Column) -> Column:
 
 
 def _tie(docs: DataFrame) -> Column:
-    """128 bits of a row's columns (maps, which have no order, excepted)."""
-    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t]
+    """128 bits of all of a row's columns; maps count as they are written."""
+    plain = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
     return F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *reversed(plain)).alias("b"))
 
 
@@ -67,7 +67,8 @@ def sample(
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for each row of docs; also `tie`, which
     tells rows of one id apart."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_column(text).cast("long").alias("size"), _tie(docs).alias("tie"))
+    # Texts are read once; what follows sees ids, sizes and hashes.
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_column(text).cast("long").alias("size"), _tie(docs).alias("tie")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     planned = targets(sizes, weights, share, cap)
     largest = sizes.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
@@ -75,8 +76,13 @@ def sample(
     rows = rows.withColumn("class", size_class()).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).cast("int"))
     cell = ["source", "class", "part"]
     counted = rows.groupBy(*cell).agg(F.count("*").alias("in_cell"))
-    line = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("ahead", F.coalesce(F.sum("in_cell").over(line), F.lit(0))).drop("in_cell")
+    # Two levels of running sums: over a source's few size classes, and over the parts of one class.
+    ahead = lambda df, column, order, *keys: F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counted.groupBy("source", "class").agg(F.sum("in_cell").alias("in_class"))
+    classes = classes.select("source", "class", ahead(classes, "in_class", "class", "source").alias("before"))
+    inner = counted.select(*cell, ahead(counted, "in_cell", "part", "source", "class").alias("within"))
+    on = [inner["source"].eqNullSafe(classes["source"]), inner["class"] == classes["class"]]
+    starts = inner.join(classes, on).select(*(inner[c] for c in cell), (classes["before"] + inner["within"]).alias("ahead"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", "tie")))
 
     def same(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -96,12 +102,14 @@ def sample(
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs themselves, each as often as sampled.
 
-    Rows equal in every column are exchangeable: their copies are added up and dealt out evenly.
+    Rows equal in every column are exchangeable: one of them, found by a partial aggregate, stands for
+    all and is emitted as often as they together are.
     """
     copies = sample(docs, doc_id=doc_id, text=text, source=source, **options)
-    copies = copies.groupBy(F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    one = Window.partitionBy("_tie").orderBy(F.lit(0))
-    rows = docs.withColumn("_tie", _tie(docs)).withColumn("_row", F.row_number().over(one)).join(copies, "_tie")
-    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    rows = rows.withColumn("_times", times).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    copies = cut(copies.groupBy("tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"))
+    rows = docs.select(_tie(docs).alias("tie"), F.struct("*").alias("row"))
+    one = rows.join(copies.where("rows = 1"), "tie").select("row", "copies")
+    several = copies.where("rows > 1")
+    alike = rows.join(several.select("tie"), "tie", "left_semi").groupBy("tie").agg(F.first("row").alias("row")).join(several, "tie")
+    out = one.unionByName(alike.select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
