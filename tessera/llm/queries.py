@@ -85,7 +85,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express: what each source shall give."""
+    rows = mixing.sample(table(spark, sf_dir, "documents"))
+    return rows.groupBy("source", "source_size").agg(F.round(F.first("target"), 3).alias("target"), F.count("*").alias("documents"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: counts and base rule."""
+    counts = quality_rules.features(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express: hosts, paths and rules."""
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 QUERIES: dict[str, Query] = {
+    "mixing_targets": mixing_targets,
+    "quality_counts": quality_counts,
+    "url_rules": url_rules,
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
@@ -99,6 +119,32 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "mixing_targets": r"""
+with d as (select source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from documents),
+s as (select source, sum(n)::bigint as source_size, count(*) as documents, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by 1),
+t as (select 1.5::double * sum(source_size) as total from s),
+-- Every cap that may be the last one met gives a level; the right one is where capped and free parts add up.
+l as (select a.source as last, (any_value(total) - coalesce(sum(2 * b.source_size) filter (where 2 * b.source_size / b.w < 2 * a.source_size / a.w), 0)) / sum(b.w) filter (where 2 * b.source_size / b.w >= 2 * a.source_size / a.w) as level, any_value(2 * a.source_size / a.w) as own from s a, s b, t group by a.source),
+m as (select coalesce(arg_min(level, own) filter (where own >= level), 1e300) as level from l)
+select source, source_size, documents, round(least(2.0::double * source_size, level * w), 3) as target from s, m
+""",
+    "quality_counts": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+n as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x : length(x))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+g as (select doc_id, unnest(range(1, len(w) - 1)) as p, w from w where len(w) >= 3), k as (select doc_id, p, array_to_string(w[p : p + 2], ' ') as g from g),
+r as (select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, g) as c from k) where c > 1),
+c as (select doc_id, count(*) as covered from (select distinct doc_id, unnest([p, p + 1, p + 2]) as q from r) group by 1)
+select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered, 0)::bigint as n_repeat_words,
+  n_words < 50 or 100 * coalesce(covered, 0) > 50 * n_words as base_failed from n left join c using (doc_id)
+""",
+    "url_rules": r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as r from pages),
+h as (select page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+m as (select h.*, v.rule, v.verdict, row_number() over (partition by page_id order by length(v.rule) desc) as n from h left join (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v0(host, path, verdict)
+  on (h.host = v0.host or ends_with(h.host, '.' || v0.host)) and starts_with(h.path, v0.path) left join (select 1) on true cross join lateral (select v0.host || v0.path as rule, v0.verdict as verdict) v)
+select page_id, host, path, rule, verdict as ruled from m where n = 1
+""",
     "op1_embedding_dedup": """
 with recursive e as (select vec_id, list_transform(embedding, lambda x : x::double) as v from embeddings),
 n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x : x * x))) as l from e),

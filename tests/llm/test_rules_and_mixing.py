@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, quality_rules, url_filter
 
@@ -224,3 +225,33 @@ def test_owners_of_hosts(spark):
 def test_beta_quantile():
     q = url_filter.beta_quantile(0.05, np.array([1.0, 2.0, 50.0]), np.array([1.0, 2.0, 1.0]))
     assert q == pytest.approx([0.05, 0.13535, 0.05 ** (1 / 50)], abs=1e-4)
+
+
+def test_documents_taken_as_by_brute_force(spark, docs, rows):
+    """Prefix sums of expected copies along each source's line, one integer boundary after the other."""
+    from math import floor
+
+    from tessera.llm import mixing
+
+    table = docs.where("doc_id is not null")
+    got = mixing.sample(table, cell_rows=7).select("*", mixing.size_class().alias("class"), F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(16)).alias("part"), mixing.uniform(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(13)).alias("offset")).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    for source in sizes:
+        line = sorted((r for r in got if r.source == source), key=lambda r: (r["class"], r.part, r.size, r.doc_id, tuple(r.tie)))
+        for i, r in enumerate(line):
+            rate = r.target / sizes[source]
+            assert r.copies == max(0, min(2, floor((i + 1) * rate + r.offset) - floor(i * rate + r.offset)))
+        assert abs(sum(r.taken for r in line) - line[0].target) <= max(r.size for r in line) * 2
+
+
+def test_pages_that_repeat_count_once(spark):
+    from tessera.llm import url_filter
+
+    pages = [(i, f"http://h{i % 3}.org/d/{i}") for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame(pages, "page_id long, url string")
+    many = one.unionByName(one).unionByName(one.where("page_id < 9")).withColumn("host", F.lit("x")).withColumn("bad", F.lit(9))
+    run = lambda p: {(r.page_id, r.verdict, r.reputation) for r in url_filter.filter_urls(p, url_filter.outcomes_from_labels(p, labels)).collect()}
+    assert run(one) == run(many)
