@@ -158,19 +158,22 @@ def snapshot(mentions: DataFrame, reviews: DataFrame, top_k: int = 10, limit: in
     """One nested row per product: what is published. Its arrays hold at most the ontology's aspects
     (times `limit` for representatives)."""
     v = votes(mentions)
-    table = ranked(aspect_table(v))
-    body = [c for c in table.columns if c not in ("product_id", "rank")]
-    aspects = table.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("order"), "aspect_id", "rank", *(c for c in body if c != "aspect_id")))).alias("aspects"))
-    lists = buckets(table).groupBy("product_id").pivot("bucket", sorted(set(CLASSES.values()))).agg(F.first("aspect_ids"))
-    lists = lists.select("product_id", *(F.col(b).alias(f"{b}_aspects") for b in sorted(set(CLASSES.values()))))
-    tops = top_tags(table, top_k).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("rank", "aspect_id", "classification", "aggregate_tag", "score"))).alias("top_tags"))
+    table = ranked(aspect_table(v)).withColumn("bucket", bucket_of(F.col("classification")))
+    body = [c for c in table.columns if c not in ("product_id", "rank", "aspect_id")]
+    item = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("order"), "aspect_id", "rank", *body)
+    # One grouping gives the aspects in order; counts, lists and top tags are read from that array.
+    rows = table.groupBy("product_id").agg(F.array_sort(F.collect_list(item)).alias("aspects"), *(F.sum(s).alias(s) for s in ontology.SENTIMENTS))
+    names = sorted(set(CLASSES.values()))
+    listed = lambda b: F.transform(F.filter("aspects", lambda x: x["bucket"] == b), lambda x: x["aspect_id"])
+    top = ("rank", "aspect_id", "classification", "aggregate_tag", "score")
+    tops = F.transform(F.filter("aspects", lambda x: F.coalesce(x["rank"] <= top_k, F.lit(False))), lambda x: F.struct(*(x[c].alias(c) for c in top)))
+    plain = F.transform("aspects", lambda x: F.struct(*(x[c].alias(c) for c in ("order", "aspect_id", "rank", *(c for c in body if c != "bucket")))))
+    rows = rows.select("product_id", *ontology.SENTIMENTS, plain.alias("aspects"), *(listed(b).alias(f"{b}_aspects") for b in names), tops.alias("top_tags"))
     chosen = representatives(v, reviews, limit)
     chosen = chosen.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("aspect_id", "label_order", "place", "vote", "review_id", "confidence", "helpful_votes"))).alias("representative_reviews"))
-    out = review_counts(reviews)
-    for part in (distribution(v), aspects, lists, tops, chosen):
-        out = out.join(part, "product_id", "left")
+    out = review_counts(reviews).join(rows, "product_id", "left").join(chosen, "product_id", "left")
     zeros = {s: F.coalesce(s, F.lit(0)) for s in ontology.SENTIMENTS}
-    empty = {f"{b}_aspects": F.coalesce(f"{b}_aspects", F.array().cast("array<string>")) for b in sorted(set(CLASSES.values()))}
+    empty = {f"{b}_aspects": F.coalesce(f"{b}_aspects", F.array().cast("array<string>")) for b in names}
     return out.withColumns(zeros | empty)
 
 
