@@ -169,6 +169,12 @@ def quality_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quality_queue(_analyses(spark, sf_dir)).select("review_id", "minimum_confidence", F.array_join("reasons", ",").alias("reasons"), "n_reasons")
 
 
+@query(f"with {_QUEUE} select review_id, reasons from q order by n_reasons desc, review_id::varchar limit 20")
+def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = reports.in_queue_order(reports.quality_queue(_analyses(spark, sf_dir))).limit(20)
+    return head.select("review_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(f"with {_QUEUE} select r.reason, (select count(*) from q where contains(q.reasons, r.reason)) as reviews from (select unnest(['unknown_aspect', 'low_confidence', 'no_aspects', 'contradictory_sentiment']) as reason) r")
 def quality_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.reason_counts(reports.quality_queue(_analyses(spark, sf_dir)))
@@ -428,6 +434,20 @@ def retrieval_topk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("conv_id", "turn", "score", "place", F.sha2("text", 256).alias("snippet"))
 
 
+@query(
+    f"with c as (select * from conversations where text is not null), q as (select conv_id, arg_min(text, turn) as question from c where role = 'user' group by 1), "
+    f"t as (select c.conv_id, c.turn, c.text, len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')), lambda w : not list_contains({_STOP}, w)), list_distinct(regexp_extract_all(lower(c.text), '[a-z0-9]+')))) as score from c join q using (conv_id)), "
+    "r as (select *, row_number() over (partition by conv_id order by score desc, turn) as place from t where score > 0), b as (select *, coalesce(sum(length(text)) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) as used from r where place <= 8) "
+    "select conv_id, turn, score::int as score, place::int as place, sha256(substr(text, 1, (18000 - used)::int)) as snippet from b where used < 18000 and length(text) > 0"
+)
+def retrieval_whole_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.table(spark, sf_dir, "conversations").where("text is not null")
+    asked = dedup.first_by(c.where("role = 'user'"), ["conv_id"], ["turn"]).select("conv_id", F.col("text").alias("question"))
+    rows = c.join(asked, "conv_id").withColumn("aspects", F.array().cast("array<string>"))
+    best = retrieval.within_budget(retrieval.scored(rows), ["conv_id"], "turn")
+    return best.select("conv_id", "turn", "score", "place", F.sha2("text", 256).alias("snippet"))
+
+
 def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "events").where(F.col("event_type") == kind)
     return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "value", F.element_at(F.array(F.lit("reviewed"), F.lit("in_progress"), F.lit("needs_review")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"))

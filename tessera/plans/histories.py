@@ -365,3 +365,19 @@ def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(i % 3 == 0, whole).when(i % 3 == 1, F.substring(whole, 1, 30)).otherwise(F.concat(F.lit("x"), F.substring(whole, 2, 35)))
     texts = F.when(i % 10 == 0, F.array().cast("array<string>")).when(i % 10 == 5, F.array(F.lit("a"), F.repeat(F.lit("b"), F.lit(10001)))).otherwise(F.array(F.lit("a"), F.col("event_type")))
     return _events(spark, sf_dir).select("event_id", validation.idempotency_key(key).alias("key_ok"), validation.inline_reviews(texts).alias("texts_ok"))
+
+
+_PUBLISHED = ("product_id", "aspect_id", "review_count", "score", "rank", "aggregate_tag")
+
+
+@query(f"with {fx.ASPECTS_SQL} select {', '.join(_PUBLISHED)} from a")
+def published_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs, reviews with even and with odd ids: the second one republishes the products that it touches."""
+    from ..operators import votes
+    from ..streaming import publish
+
+    m = fx.mentions(spark, sf_dir)
+    second = m.where("review_id % 2 = 1").select("product_id").distinct()
+    epochs = [m.where("review_id % 2 = 0"), m.join(second, "product_id", "left_semi")]
+    parts = [votes.product_ranking(rows).withColumn("epoch", F.lit(i)) for i, rows in enumerate(epochs)]
+    return publish.current(parts[0].unionByName(parts[1])).select(*_PUBLISHED)

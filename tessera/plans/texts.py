@@ -367,3 +367,20 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _said(spark, sf_dir).where("length(text) > 2").withColumn("review_id", F.col("turn"))
     quote = F.concat(F.substring("text", 3, 12), F.when(F.col("turn") % 4 == 3, "\u0001").otherwise(""))
     return retrieval.cited(rows.select("conv_id", "turn", "review_id", quote.alias("quote")), rows.where("turn % 5 <> 4").select("conv_id", "review_id", "text"), ["conv_id"]).select("conv_id", "turn", "valid")
+
+
+@query("select o_orderkey as id, case when o_orderkey % 4 >= o_orderkey % 3 then '0-7' else '2-9' end || ',10-14' as kept from orders")
+def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping candidates, of which the one farther from its window's edge stays, and one of its own."""
+    candidate = lambda a, b, c, m: F.struct(F.lit(a).alias("start_char"), F.lit(b).alias("end_char"), F.lit(c).alias("confidence"), m.cast("int").alias("boundary_margin"), F.lit(0).alias("window_index"))
+    k = F.col("o_orderkey")
+    found = sentiment.merge_windows(F.lit("battery life x y"), F.array(candidate(0, 7, 0.9, k % 4), candidate(2, 9, 0.8, k % 3), candidate(10, 14, 0.5, F.lit(2))))
+    return fx.table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(F.transform(found, lambda s: F.concat_ws("-", s["start_char"].cast("string"), s["end_char"].cast("string"))), ",").alias("kept"))
+
+
+@query()
+def captured_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all pages, the first of each text; tested by hand-written pages."""
+    from ..sources import imports
+
+    return imports.captured(fx.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")).select("url", "ordinal", F.sha2("review_text", 256).alias("text"))
