@@ -255,3 +255,107 @@ def test_pages_that_repeat_count_once(spark):
     many = one.unionByName(one).unionByName(one.where("page_id < 9")).withColumn("host", F.lit("x")).withColumn("bad", F.lit(9))
     run = lambda p: {(r.page_id, r.verdict, r.reputation) for r in url_filter.filter_urls(p, url_filter.outcomes_from_labels(p, labels)).collect()}
     assert run(one) == run(many)
+
+
+def brute_reputations(outcomes):
+    """host -> (mean, alpha, beta) by the chain suffix, domain, host, each centred on the one above."""
+
+    def parts(host):
+        labels = host.split(".")
+        two = ".".join(labels[-2:])
+        return (".".join(labels[-3:]), two) if two in url_filter.SUFFIXES else (two, labels[-1])
+
+    def strength(groups):
+        spread = sum((b - n * m) ** 2 - n * m * (1 - m) for n, b, m in groups)
+        scale = sum(n * (n - 1) * m * (1 - m) for n, b, m in groups)
+        rho = spread / scale if scale else None
+        return 2.0 if rho is None else max(2.0, min(1000.0, (1 - rho) / max(rho, 1e-9)))
+
+    def add(key):
+        out = {}
+        for host, bad in outcomes:
+            n, b = out.get(key(host), (0, 0))
+            out[key(host)] = (n + 1, b + bad)
+        return out
+
+    levels = [add(lambda h: parts(h)[1]), add(lambda h: parts(h)[0]), add(lambda h: h)]
+    above = [lambda g: None, lambda g: parts("x." + g)[1] if "." in g else g, lambda g: parts(g)[0]]
+    total = (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)
+    means, out = {None: total}, {}
+    for level, parent in zip(levels, above, strict=True):
+        prior = {g: means[parent(g)] for g in level}
+        s = strength([(n, b, prior[g]) for g, (n, b) in level.items()])
+        out = {g: (prior[g] * s + b, (1 - prior[g]) * s + n - b) for g, (n, b) in level.items()}
+        means = {g: a / (a + c) for g, (a, c) in out.items()}
+    return {g: (means[g], *out[g]) for g in out}
+
+
+def test_posterior_chain_as_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    hosts = [f"{s}.{d}" for d in ("a.com", "b.com", "c.org", "d.co.uk", "e.co.uk") for s in ("www", "m", "x")]
+    rate = dict(zip(hosts, rng.beta(1, 2, len(hosts)), strict=True))
+    outcomes = [(h, int(rng.random() < rate[h])) for h in hosts for _ in range(int(rng.integers(1, 60)))]
+    got = {r.host: r for r in url_filter.reputations(spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+    want = brute_reputations(outcomes)
+    assert set(got) == set(want)
+    x = (np.arange(200000) + 0.5) / 200000
+    for host, (mean, a, b) in want.items():
+        assert got[host].reputation == pytest.approx(mean, abs=1e-9)
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - max((a - 1) * np.log(x) + (b - 1) * np.log1p(-x)))
+        share = np.cumsum(density) / density.sum()
+        assert got[host].bound == pytest.approx(x[np.searchsorted(share, 0.05)], abs=1e-4)
+
+
+def test_cutoffs_as_by_brute_force(spark):
+    """The step along the path that each stratum takes, by exact tails and one step after the other."""
+    from math import comb
+
+    rng = np.random.default_rng(6)
+    docs, labels = [], []
+    for i in range(2600):
+        good, lang = i % 4 != 0, "en" if i % 13 else "fr"
+        marks = 0 if good and rng.random() > 0.004 else int(rng.integers(0, 30))
+        docs.append((i, " ".join(f"w{rng.integers(0, 5000)}" for _ in range(60)) + " " + "#" * marks, lang))
+        labels.append((i, int(good)))
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    judged = {r.doc_id: r for r in quality_rules.judge(frame, known).collect()}
+    plan = {r.doc_id for r in known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0).collect()}
+    bins = {r.doc_id: [r[c] for c in quality_rules.RULES] for r in quality_rules.features(frame).select("doc_id", *(quality_rules._bin(c).alias(c) for c in quality_rules.RULES)).collect()}
+    good = dict(labels)
+    usable = [i for i in good if not judged[i].base_failed]
+    counts = np.zeros((2, len(quality_rules.RULES), quality_rules.BINS + 1), np.int64)
+    for i in usable:
+        if i in plan:
+            for r, b in enumerate(bins[i]):
+                counts[good[i], r, b] += 1
+    steps = quality_rules.reject_path(counts[1], counts[0], 10.0)
+    rejected = lambda i, upto: any(bins[i][r] >= b for r, b in steps[:upto])
+
+    def best(ids, share):
+        n = [i for i in ids if good[i]]
+        top, chosen = 0.0, 0
+        for upto in range(1, len(steps) + 1):
+            k = sum(rejected(i, upto) for i in n)
+            if sum(comb(len(n), j) * 0.01**j * 0.99 ** (len(n) - j) for j in range(k + 1)) > share:
+                break
+            worth = sum(rejected(i, upto) for i in ids if not good[i]) - 10.0 * k
+            if worth > top:
+                top, chosen = worth, upto
+        return chosen
+
+    tests = [i for i in usable if i not in plan]
+    share = 0.05 / 3
+    pooled = best(tests, share)
+    for lang in ("en", "fr"):
+        mine = [i for i in tests if docs[i][2] == lang]
+        n = [i for i in mine if good[i]]
+        if 0.99 ** len(n) <= share:
+            upto = best(mine, share)
+        else:
+            upto = pooled
+            while upto and sum(rejected(i, upto) for i in n) > 0.01 * len(n):
+                upto -= 1
+        assert upto > 0
+        for i in usable:
+            if docs[i][2] == lang:
+                assert judged[i].kept == (not rejected(i, upto))
