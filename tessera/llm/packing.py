@@ -72,7 +72,8 @@ class Ids:
 
 class Encoder:
     """Ids of texts by a tokenizers file. Each distinct word of a batch is encoded once; plain words, without
-    regard to case and to the marks after them, many at a time."""
+    regard to case (where the tokenizer folds it) and to the marks after them, many at a time. Where white
+    space is more than a border between words, texts are encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -84,6 +85,10 @@ class Encoder:
         normalizer = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
         steps = normalizer.get("normalizers", [normalizer])
         self.lower = any(s.get("type") == "Lowercase" or (s.get("type") == "BertNormalizer" and s.get("lowercase")) for s in steps)
+        # Whether white space only parts words; if not, texts are encoded whole.
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        probes = (("ab cd", ["ab", "cd"]), (" ab", ["ab"]), ("ab  cd ", ["ab", "cd"]), ("Ab\n\tcd", ["Ab", "cd"]), ("ab. cd ,e", ["ab.", "cd", ",e"]))
+        self.by_words = all(ids(text) == [i for w in words for i in ids(w)] for text, words in probes)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
@@ -128,6 +133,11 @@ class Encoder:
 
     def texts(self, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts in turn: all ids end to end, and where each text's begin (one more than texts)."""
+        if not self.by_words:
+            for s in range(0, len(text), 256):
+                whole = self.one_by_one(text.slice(s, 256).to_pylist())
+                yield whole.flat, np.concatenate([[0], np.cumsum(whole.size)])
+            return
         split = pc.ascii_split_whitespace(text)
         flat = split.flatten()
         filled = pc.greater(pc.binary_length(flat), 0)

@@ -359,3 +359,21 @@ def test_cutoffs_as_by_brute_force(spark):
         for i in usable:
             if docs[i][2] == lang:
                 assert judged[i].kept == (not rejected(i, upto))
+
+
+def test_other_tokenizers(tmp_path):
+    """A byte-level vocabulary, and the usual one without its normaliser: ids are those of whole texts."""
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    usual = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    (tmp_path / "cased.json").write_text(json.dumps(usual | {"normalizer": None}))
+    texts = ["Hello World, PARIS again", "", " a  b\n\tc ", "naïve café… ﬁ 1234", "x" * 50, "Über-Maß (1.5%)!", "don't  stop"]
+    for path in (public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        whole = Tokenizer.from_file(path)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        got = [ids[a:b].tolist() for ids, first in packing.Encoder(path).texts(pa.array(texts, pa.large_string())) for a, b in zip(first[:-1], first[1:], strict=True)]
+        assert got == want, path
