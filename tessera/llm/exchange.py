@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_volume
 from .textkernel import LAST
 
 BLOCK_BYTES = 8 << 20
@@ -28,9 +27,16 @@ LEAST = 64
 U = np.uint64
 
 
-def plan_blocks(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+RELEASE_BYTES = 1 << 27
+
+
+def large(volume: int) -> bool:
+    """Whether shuffle files of so much text are worth a wait for their release (see `runtime.cut`)."""
+    return volume >= RELEASE_BYTES
+
+
+def plan_blocks(volume: int) -> tuple[int, int]:
     """(blocks, ranges) for the volume of text."""
-    volume = text_volume(docs, text)
     return max(LEAST, -(-volume // BLOCK_BYTES)), max(LEAST, -(-volume // (BYTES_PER_HASH * HASHES_PER_RANGE)))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .runtime import cut
+from .runtime import cut, text_volume
 from .textkernel import LAST, Words, each_words, grams, inside
 
 U = np.uint64
@@ -196,9 +196,9 @@ def _reply_edges(payloads, lengths):
     return [list(x) for x in zip(*parts, strict=True)]
 
 
-def path_occurrences(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and nonbranching path of repeated edges in it, with all its starts there."""
-    blocks, ranges = X.plan_blocks(docs, text)
+def path_occurrences(docs: DataFrame, volume: int, k: int = 13, m: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """volume: bytes of text. One row per document and nonbranching path of repeated edges in it, with all its starts there."""
+    blocks, ranges = X.plan_blocks(volume)
     dealt = X.in_blocks(docs, blocks, doc_id, text)
 
     def send_anchors(group: pa.Table) -> pa.Table:
@@ -285,8 +285,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_
 
     With `rest`, also the whole text and a struct of those columns.
     """
-    blocks, _ = X.plan_blocks(docs, text)
-    spans = removed_spans(cut(path_occurrences(docs, k, m, doc_id, text), release=True), k)
+    volume = text_volume(docs, text)
+    blocks, _ = X.plan_blocks(volume)
+    spans = removed_spans(cut(path_occurrences(docs, volume, k, m, doc_id, text), X.large(volume)), k)
 
     def cover(group: pa.Table, found: pa.Table) -> pa.Table:
         group = X.in_order(group)
