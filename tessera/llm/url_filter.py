@@ -139,7 +139,7 @@ def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame
         def under(groups: DataFrame) -> DataFrame:
             return groups.join(prior.withColumnRenamed("mean", "prior"), on) if on else groups.crossJoin(F.broadcast(prior.withColumnRenamed("mean", "prior")))  # one row
 
-        joined = under(level)
+        joined = cut(under(level))  # a row per group, read for the strength and for the posterior
         weight = joined.agg(concentration(joined, "prior").alias("strength"))
         if others is not None:
             joined = joined.unionByName(under(others.withColumn("bad", F.lit(0.0)).withColumn("n", F.lit(0.0))))
@@ -155,8 +155,8 @@ def reputations(labelled: DataFrame, confidence: float = 0.95, hosts: DataFrame
         domains = fresh.select("domain", "suffix").distinct().join(domain.select("domain"), "domain", "left_anti")
         new = [domains.select("suffix").distinct().join(suffix.select("suffix"), "suffix", "left_anti"), domains, fresh]
     total = total.where("mean is not null")
-    suffix = posterior(suffix, total, None, new[0])
-    domain = posterior(domain, suffix.select("suffix", "mean"), "suffix", new[1])
+    suffix = cut(posterior(suffix, cut(total), None, new[0]))
+    domain = cut(posterior(domain, suffix.select("suffix", "mean"), "suffix", new[1]))
     host = posterior(host, domain.select("domain", "mean"), "domain", new[2])
 
     def bounds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
