@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, language_id, mixing, ngram_join, packing, periodic_runs, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
 from .learning import fold
-from .runtime import cut, table
+from .runtime import WORD, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents, a tenth of them (by crc32 of the id) with words from a place on that repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), split.alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    words = F.expr("transform(sequence(0, n - 1), i -> get(w, int(if(i < a, i, a + (i - a) % p))))")
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumns({"longest": longest, "listed": F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")})
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op9 that SQL can express: what each source shall give."""
     rows = mixing.sample(table(spark, sf_dir, "documents"))
@@ -116,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -179,5 +203,24 @@ pos as (select doc_id, unnest(range(1, len(w) + 1)) as q, w from d),
 kept as (select p.doc_id, string_agg(p.w[p.q], ' ' order by p.q) as t, count(*) as n from pos p anti join gone g on p.doc_id = g.doc_id and p.q = g.q group by p.doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
 from d left join kept k using (doc_id)
+""",
+    # crc32 bit by bit over the digits; then words equal q apart, in islands of at least 3 q; the smallest period is the one that no other divides.
+    "op13_periodic_runs": r"""
+with c as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda x : ascii(x)::bigint),
+    lambda a, b : list_reduce([xor(a, b)] || range(8), lambda e, z : xor(e >> 1, (e & 1) * 3988292384))), 4294967295) as h from documents),
+g as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, h // 10 as g from c),
+a as (select *, case when planted then g % n end as a from g), p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+d as (select doc_id, n, case when planted then list_transform(range(n), lambda i : w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from p),
+t as (select doc_id, n, unnest(range(n)) as i, unnest(w) as x from d),
+s as (select x.doc_id, y.i - x.i as q, x.i from t x join t y on x.doc_id = y.doc_id and x.x = y.x and y.i > x.i and y.i - x.i <= x.n // 4),
+o as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from s),
+m as (select doc_id, q as period, min(i) as start, count(*) + q as length from o group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)),
+r as (select * from m where not exists (select 1 from m k where k.doc_id = m.doc_id and k.period < m.period and m.period % k.period = 0 and k.start <= m.start and k.start + k.length >= m.start + m.length)),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+kept as (select t.doc_id, string_agg(t.x, ' ' order by t.i) as k from t anti join gone on t.doc_id = gone.doc_id and t.i = gone.i group by t.doc_id),
+l as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed, arg_min({'s': start, 'l': length, 'p': period}, (-length, start, period)) as b from r group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.l::bigint as length, b.p::bigint as period, (1000 * b.l // b.p)::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(k, '')) as collapsed_sha256
+from d left join l using (doc_id) left join kept using (doc_id)
 """,
 }
