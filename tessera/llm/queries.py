@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, ngram_join, packing, periodic_runs, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
+from . import centroid_clustering, embedding_dedup, language_id, mixing, ngram_join, packing, periodic_runs, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
 from .learning import fold
 from .runtime import WORD, cut, table
 
@@ -85,6 +86,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
+def op11_drake_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centres = centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+    placed = cut(placed)
+    inertia = {r.cluster: int(r.inertia) for r in placed.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # k rows
+    rows = [(c, inertia.get(c, 0), sum(inertia.values()), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centres.tolist())]
+    told = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return placed.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """documents, a tenth of them (by crc32 of the id) with words from a place on that repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -139,9 +149,18 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_drake_kmeans": op11_drake_kmeans,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+# Plain rounds: all distances of the vectors to the centroids, then floored means; a and c by round.
+KMEANS_ROUND = """
+a{0} as materialized (select r, any_value(v.v) as v, arg_min(c, (list_dot_product(v.d, v.d) + list_dot_product(k.d, k.d) - 2 * list_dot_product(v.d, k.d), c)) as c from v cross join c{0} k group by r),
+e{0} as (select c, unnest(v) as x, unnest(range(64)) as p from a{0}), s{0} as (select c, p, sum(x)::bigint as s, count(*) as n from e{0} group by c, p),
+m{0} as (select c, list((s - ((s % n) + n) % n) // n order by p) as v from s{0} group by c),
+c{1} as materialized (select c, coalesce(m.v, k.v) as v, coalesce(m.v, k.v)::double[] as d from c{0} k left join m{0} m using (c)),
+"""
+
 ORACLES: dict[str, str] = {
     "mixing_targets": r"""
 with d as (select source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from documents),
@@ -222,5 +241,16 @@ kept as (select t.doc_id, string_agg(t.x, ' ' order by t.i) as k from t anti joi
 l as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed, arg_min({'s': start, 'l': length, 'p': period}, (-length, start, period)) as b from r group by doc_id)
 select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.l::bigint as length, b.p::bigint as period, (1000 * b.l // b.p)::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(k, '')) as collapsed_sha256
 from d left join l using (doc_id) left join kept using (doc_id)
+""",
+    "op11_drake_kmeans": """
+with w as (select vec_id, list_transform(embedding, lambda x : floor(256 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x : isfinite(x))) = 64),
+v as materialized (select vec_id, row_number() over () as r, v, v::double[] as d from w),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as c, v, d from v qualify c < 40),
+"""
+    + "".join(KMEANS_ROUND.format(i, i + 1) for i in range(5))
+    + """
+d as (select r, vec_id, (list_dot_product(v.d, v.d) + list_dot_product(k.d, k.d) - 2 * list_dot_product(v.d, k.d))::bigint as distance, c, k.v as centre from v cross join c5 k),
+n as (select r, any_value(vec_id) as vec_id, arg_min(c, (distance, c)) as cluster, min(distance) as distance, arg_min(centre, (distance, c)) as centre from d group by r)
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, sha256(array_to_string(centre, ',')) as centroid_sha256 from n
 """,
 }
