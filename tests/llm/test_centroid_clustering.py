@@ -32,7 +32,7 @@ def table(n, dims, spread, seed=4):
     return rows + [(10_000 + i, e, None, None) for i, e in enumerate(odd)]
 
 
-@pytest.mark.parametrize(("n", "dims", "spread", "scale", "k"), [(400, 8, 0.3, 256, 40), (300, 2, 0.5, 4, 12), (250, 4, 1.0, 1 << 22, 9), (4, 3, 0.2, 256, 40)])
+@pytest.mark.parametrize(("n", "dims", "spread", "scale", "k"), [(400, 8, 0.3, 256, 40), (300, 2, 0.5, 4, 12), (250, 4, 1.0, 1 << 22, 9), (6, 3, 0.2, 256, 40)])
 def test_as_by_plain_rounds(spark, n, dims, spread, scale, k):
     rows, log = table(n, dims, spread), []
     got, centres = C.cluster(spark.createDataFrame(rows, SCHEMA).repartition(3), k=k, rounds=5, dims=dims, scale=scale, log=log)
