@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroid_clustering, embedding_dedup, language_id, mixing, ngram_join, packing, periodic_runs, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
+from . import centroid_clustering, embedding_dedup, html_extraction, language_id, mixing, ngram_join, packing, periodic_runs, quality_pu, quality_rules, substring_dedup, toxicity, url_filter
 from .learning import fold
 from .runtime import WORD, cut, table
 
@@ -95,6 +95,12 @@ def op11_drake_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_extraction.fit(pages, table(spark, sf_dir, "documents"))
+    return html_extraction.extract(pages, model).select("page_id", "url", "text", "n_chars")
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """documents, a tenth of them (by crc32 of the id) with words from a place on that repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -150,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_drake_kmeans": op11_drake_kmeans,
+    "op12_dom_marginals": op12_dom_marginals,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
