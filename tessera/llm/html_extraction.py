@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.pages import BLOCK, Page, parse
 
-from .runtime import small
+from .runtime import cut
 
 CONTENT, NOISE, MIXED = 0, 1, 2
 BATCH_BYTES = 1 << 20
@@ -297,9 +297,11 @@ def document_named(url: str = "url"):
 
 def labelled(pages: DataFrame, docs: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """html and document of at most `most` pages that name a document."""
-    named = pages.select(F.col("html"), F.col("page_id").alias("p"), document_named().alias("named")).where("named is not null and html is not null")
-    chosen = named.orderBy(F.xxhash64("p", "named"), "p").limit(most)
-    return docs.select(F.col("doc_id").alias("named"), F.col("text").alias("document")).where("document is not null").join(small(chosen, most), "named").select("html", "document")
+    named = pages.select("html", F.xxhash64("page_id", "url").alias("key"), document_named().alias("named")).where("named is not null and html is not null")
+    chosen = cut(named.select("key", "named").orderBy("key", "named").limit(most))  # keys alone, not pages, are compared
+    some = named.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("named"), F.col("text").alias("document")).where("document is not null")
+    return some.join(texts.join(F.broadcast(chosen.select("named").distinct()), "named", "left_semi"), "named").select("html", "document")
 
 
 def fit(pages: DataFrame, docs: DataFrame, most: int = MOST_LABELLED) -> Potentials:
