@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -26,6 +27,23 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's `spark.checkpoint.dir`; a private folder only in local mode, where none is named (tests)."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder and drop its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine; on a cluster, spark-submit sets these."""
     settings = {
