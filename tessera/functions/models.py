@@ -187,26 +187,6 @@ def takeaways(rows: DataFrame, expected: str = "aspect_ids", output: str = "outp
     return rows.withColumn("error", error).withColumn("takeaways", F.when(F.col("error").isNull(), got))
 
 
-def inlined(schema: dict) -> dict:
-    """A JSON schema with its definitions in the places that refer to them; recursion is an error."""
-    known = schema.get("$defs", {})
-
-    def one(node, within: frozenset[str]):
-        if isinstance(node, list):
-            return [one(x, within) for x in node]
-        if not isinstance(node, dict):
-            return node
-        out = {}
-        if "$ref" in node:
-            name = str(node["$ref"]).removeprefix("#/$defs/")
-            if name not in known or name in within or not str(node["$ref"]).startswith("#/$defs/"):
-                raise ValueError(f"unsupported schema reference: {node['$ref']}")
-            out = one(known[name], within | {name})
-        return out | {k: one(v, within) for k, v in node.items() if k not in ("$ref", "$defs")}
-
-    return one(schema, frozenset())
-
-
 class Baseline:
     """TF-IDF of words and word pairs with sublinear counts, rows of length 1, and a logistic regression."""
 

@@ -101,6 +101,11 @@ def aspect_table(v: DataFrame) -> DataFrame:
         *(count(s) for s in ontology.SENTIMENTS),
         F.avg("confidence").alias("average_confidence"),
     )
+    return scored(rows)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Adds ratios, score, class and tag to counts and average confidence of products' aspects."""
     n = F.col("review_count")
     for s in ontology.SENTIMENTS:
         rows = rows.withColumn(f"{s}_ratio", F.col(s) / n)
@@ -158,7 +163,14 @@ def snapshot(mentions: DataFrame, reviews: DataFrame, top_k: int = 10, limit: in
     """One nested row per product: what is published. Its arrays hold at most the ontology's aspects
     (times `limit` for representatives)."""
     v = votes(mentions)
-    table = ranked(aspect_table(v)).withColumn("bucket", bucket_of(F.col("classification")))
+    chosen = representatives(v, reviews, limit)
+    chosen = chosen.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("aspect_id", "label_order", "place", "vote", "review_id", "confidence", "helpful_votes"))).alias("representative_reviews"))
+    return nested(ranked(aspect_table(v)), review_counts(reviews), chosen, top_k)
+
+
+def nested(table: DataFrame, counts: DataFrame, chosen: DataFrame, top_k: int = 10) -> DataFrame:
+    """Published rows from ranked aspects, review counts and representative reviews of products."""
+    table = table.withColumn("bucket", bucket_of(F.col("classification")))
     body = [c for c in table.columns if c not in ("product_id", "rank", "aspect_id")]
     item = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("order"), "aspect_id", "rank", *body)
     # One grouping gives the aspects in order; counts, lists and top tags are read from that array.
@@ -169,9 +181,7 @@ def snapshot(mentions: DataFrame, reviews: DataFrame, top_k: int = 10, limit: in
     tops = F.transform(F.filter("aspects", lambda x: F.coalesce(x["rank"] <= top_k, F.lit(False))), lambda x: F.struct(*(x[c].alias(c) for c in top)))
     plain = F.transform("aspects", lambda x: F.struct(*(x[c].alias(c) for c in ("order", "aspect_id", "rank", *(c for c in body if c != "bucket")))))
     rows = rows.select("product_id", *ontology.SENTIMENTS, plain.alias("aspects"), *(listed(b).alias(f"{b}_aspects") for b in names), tops.alias("top_tags"))
-    chosen = representatives(v, reviews, limit)
-    chosen = chosen.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("aspect_id", "label_order", "place", "vote", "review_id", "confidence", "helpful_votes"))).alias("representative_reviews"))
-    out = review_counts(reviews).join(rows, "product_id", "left").join(chosen, "product_id", "left")
+    out = counts.join(rows, "product_id", "left").join(chosen, "product_id", "left")
     zeros = {s: F.coalesce(s, F.lit(0)) for s in ontology.SENTIMENTS}
     empty = {f"{b}_aspects": F.coalesce(f"{b}_aspects", F.array().cast("array<string>")) for b in names}
     return out.withColumns(zeros | empty)

@@ -43,6 +43,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select((F.col("o_custkey") % 400).alias("product_id"), F.col("o_orderkey").alias("review_id"), (F.floor("o_totalprice") % 50).alias("helpful_votes"), F.col("o_orderdate").alias("submitted_at"))
 
 
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each review, with its mentions as tags; some have none."""
+    tag = F.struct("aspect_id", "sentiment", "confidence")
+    tags = mentions(spark, sf_dir).groupBy("review_id").agg(F.collect_list(tag).alias("tags"))  # lines of one order
+    return reviews(spark, sf_dir).join(tags, "review_id", "left")
+
+
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences made from mentions, one review each; some begin with an emoji, to keep offsets honest."""
     m = mentions(spark, sf_dir)

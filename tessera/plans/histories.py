@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, dedup, history, queue, reports, serving, validation
 from . import fixtures as fx
+from . import texts
 from .registry import query
 
 _NOW = "timestamp '1998-01-01'"
@@ -372,12 +373,5 @@ _PUBLISHED = ("product_id", "aspect_id", "review_count", "score", "rank", "aggre
 
 @query(f"with {fx.ASPECTS_SQL} select {', '.join(_PUBLISHED)} from a")
 def published_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs, reviews with even and with odd ids: the second one republishes the products that it touches."""
-    from ..operators import votes
-    from ..streaming import publish
-
-    m = fx.mentions(spark, sf_dir)
-    second = m.where("review_id % 2 = 1").select("product_id").distinct()
-    epochs = [m.where("review_id % 2 = 0"), m.join(second, "product_id", "left_semi")]
-    parts = [votes.product_ranking(rows).withColumn("epoch", F.lit(i)) for i, rows in enumerate(epochs)]
-    return publish.current(parts[0].unionByName(parts[1])).select(*_PUBLISHED)
+    """Four epochs, the reviews by a remainder of their ids: each republishes the products that it touches."""
+    return texts.published(spark, sf_dir).select("product_id", "review_count", F.explode("aspects").alias("a")).select("product_id", "a.aspect_id", "a.review_count", "a.score", "a.rank", "a.aggregate_tag")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ontology, sentiment, text
 from ..operators import metrics, reports, retrieval, sampling, serving, spans, validation, votes
 from ..operators.dedup import ordered_unique
+from ..session import shared_folder
+from ..streaming import publish
 from . import fixtures as fx
 from .registry import query
 
@@ -343,16 +347,17 @@ def legacy_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.legacy_ordered(votes.legacy_aggregate(rows), "negative").select("product_id", "aspect_id", "sentiment", "mentions", "place")
 
 
-@query(
+_DIGEST_SQL = (
     f"with {fx.ASPECTS_SQL}, h as (select v.*, floor(o_totalprice)::bigint % 50 as hv from v join orders on review_id = o_orderkey), "
     "rp as (select *, row_number() over (partition by product_id, aspect_id, vote order by confidence desc, hv desc, review_id) as place from h), n as (select o_custkey % 400 as product_id, count(distinct o_orderkey) as review_count from orders group by 1), "
     "s as (select product_id, count(*) as aspects, string_agg(case when classification in ('excellent', 'good') then aspect_id end, ',' order by rank) as strengths, string_agg(case when classification in ('poor', 'weak') then aspect_id end, ',' order by rank) as weaknesses, string_agg(case when rank <= 10 then aggregate_tag end, ',' order by rank) as top_tags from a group by 1), "
     "d as (select product_id, count_if(vote = 'positive')::bigint as positive, count_if(vote = 'negative')::bigint as negative from v group by 1), q as (select product_id, count(*) as chosen, sum(review_id)::bigint as chosen_ids from rp where place <= 3 group by 1) "
     "select n.product_id, review_count, coalesce(positive, 0) as positive, coalesce(negative, 0) as negative, coalesce(aspects, 0)::int as aspects, coalesce(strengths, '') as strengths, coalesce(weaknesses, '') as weaknesses, coalesce(top_tags, '') as top_tags, coalesce(chosen, 0)::int as chosen, coalesce(chosen_ids, 0) as chosen_ids from n left join s using (product_id) left join d using (product_id) left join q using (product_id)"
 )
-def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the nested snapshots say, in plain columns."""
-    rows = votes.snapshot(fx.mentions(spark, sf_dir), fx.reviews(spark, sf_dir))
+
+
+def _digest(rows: DataFrame) -> DataFrame:
+    """What nested snapshots say, in plain columns."""
     ids = F.transform("representative_reviews", lambda r: r["review_id"])
     joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return rows.select(
@@ -361,6 +366,26 @@ def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(_DIGEST_SQL)
+def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(votes.snapshot(fx.mentions(spark, sf_dir), fx.reviews(spark, sf_dir)))
+
+
+def published(spark: SparkSession, sf_dir: str, epochs: int = 4) -> DataFrame:
+    """The current snapshots after some epochs of new reviews, partials merged into a base on the way."""
+    rows = fx.analyses(spark, sf_dir)
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    for epoch in range(epochs):
+        publish.publish_batch(rows.where(F.col("review_id") % epochs == epoch), path, epoch, buckets=4, every=2)
+    return publish.current(spark.read.parquet(f"{path}/snapshots"))
+
+
+@query(_DIGEST_SQL)
+def published_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four epochs of publication say what one pass over all mentions says."""
+    return _digest(published(spark, sf_dir))
+
+
 @query("with p as (select conv_id, text from conversations where role = 'user' and text is not null), q as (select conv_id, turn, text from conversations where text is not null) select c.conv_id, c.turn, trim(substr(c.text, 3, 12)) <> '' and c.turn % 4 <> 3 as valid from q c where length(c.text) > 2 and c.turn % 5 <> 4 union all select conv_id, turn, false from q where length(text) > 2 and turn % 5 = 4")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of turns: every fourth altered, every fifth of a turn that was not retrieved."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import models
 from tessera.operators import catalog, metrics, queue, serving
-from tessera.sources import datasets, importer
+from tessera.sources import datasets
 
 
 def test_leases(spark):
@@ -47,44 +47,6 @@ def test_import_states(spark):
     assert got == {"s": (10, 1, "post"), "t": (0, 0, "poll"), "u": (9, 1, "refuse"), "v": (0, 0, "read")}
 
 
-class Api:
-    """Jobs that finish at the second look; one batch has a bad row."""
-
-    def __init__(self) -> None:
-        self.jobs, self.looks, self.posts, self.broken = {}, {}, [], False
-
-    def __call__(self, url, method="GET", body=None, idempotency_key=None):
-        if method == "POST":
-            if self.broken:
-                raise ConnectionError
-            self.posts.append(idempotency_key)
-            self.jobs.setdefault(idempotency_key, (str(len(self.jobs)), body["content"].split("\n")))
-            return {"id": self.jobs[idempotency_key][0]}
-        job = url.rsplit("/", 1)[-1]
-        self.looks[job] = self.looks.get(job, 0) + 1
-        lines = next(lines for i, lines in self.jobs.values() if i == job)
-        errors = [{"row": n + 1, "error": "bad"} for n, x in enumerate(lines) if x == "bad"]
-        return {"status": ("completed_with_errors" if errors else "completed") if self.looks[job] > 1 else "running", "errors": errors}
-
-
-def test_import_runs_on_where_it_broke_off(tmp_path):
-    source, state = tmp_path / "s.jsonl", tmp_path / "state.json"
-    source.write_text("\n".join(["1", "", "2", "3", "bad", "4"]) + "\n")
-    api, slept = Api(), []
-    run = lambda **k: importer.run_import(source, state, api, slept.append, "imports", 2, **k)
-    api.broken = True
-    with pytest.raises(ConnectionError):
-        run()
-    api.broken = False
-    got = run()
-    assert got["stopped"] == 1 and got["errors"] == [{"batch": 1, "source_line": 5, "error": "bad"}]
-    done = run(skip_failed=True)
-    assert done["complete"] and done["next_batch"] == 3 and done["cursor"] == source.stat().st_size and len(set(api.posts)) == 3 and slept
-    source.write_text("other\n")
-    with pytest.raises(ValueError, match="changed"):
-        run()
-
-
 def test_uuid5(spark):
     got = spark.createDataFrame([("a",), ("é/1",), ("",)], "n string").select("n", catalog.uuid5(F.col("n")).alias("u")).collect()
     assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.n)) for r in got)
@@ -116,14 +78,6 @@ def test_softmax_and_pooling(spark):
     assert np.allclose(r.p, e / e.sum()) and r.a == 1 and np.allclose(r.u, [0.5**0.5] * 2) and r.none == [0.0, 0.0]
 
 
-def test_schemas_are_inlined():
-    schema = {"$defs": {"A": {"type": "object", "properties": {"b": {"$ref": "#/$defs/B"}}}, "B": {"type": "string"}}, "items": [{"$ref": "#/$defs/A", "title": "t"}]}
-    assert models.inlined(schema) == {"items": [{"type": "object", "properties": {"b": {"type": "string"}}, "title": "t"}]}
-    for bad in ({"$ref": "#/$defs/X"}, {"$defs": {"A": {"x": {"$ref": "#/$defs/A"}}}, "$ref": "#/$defs/A"}, {"$ref": "http://x"}):
-        with pytest.raises(ValueError, match="reference"):
-            models.inlined(bad)
-
-
 def test_generated_failures_cost_their_row_only(spark):
     def load():
         def generate(system, payload, schema):

@@ -8,22 +8,56 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from tessera.operators import votes
 from tessera.plans import fixtures
 from tessera.streaming import publish, state
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def same(a, b):
+    a, b = a.select(sorted(a.columns)), b.select(sorted(b.columns))
+    return a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
 def test_published_snapshots_equal_the_batch(spark, tmp_path):
-    rows = fixtures.mentions(spark, SMALL).select("product_id", "review_id", "aspect_id", "sentiment", "confidence")
-    for i in range(2):
-        rows.where(F.col("review_id") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    """Five epochs of a stream, merged into bases on the way; reviews that come again change nothing."""
+    rows = fixtures.analyses(spark, SMALL).cache()
+    for i in range(5):
+        part = rows.where(F.col("review_id") % 5 == i)
+        (part if i < 4 else part.unionByName(rows.where("review_id % 50 = 3"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    publish.publish(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(300)
-    saved = publish.current(spark.read.parquet(str(tmp_path / "out" / "snapshots")))
-    columns = ["product_id", "aspect_id", "review_count", "score", "rank"]
-    want = driver.queries()["product_aspect_ranking"](spark, SMALL).select(*columns)
-    assert saved.select(*columns).exceptAll(want).count() == want.exceptAll(saved.select(*columns)).count() == 0
+    out = str(tmp_path / "out")
+    publish.publish(stream, out, str(tmp_path / "check"), buckets=4, every=2).awaitTermination(600)
+    saved = publish.current(spark.read.parquet(out + "/snapshots")).drop("epoch", "data_revision")
+    want = votes.snapshot(fixtures.mentions(spark, SMALL), fixtures.reviews(spark, SMALL))
+    assert len(publish._done(spark, out + "/deltas")) == 5 and publish._done(spark, out + "/base")
+    flat = lambda df: df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith("array")})
+    assert same(flat(saved), flat(want))
+
+
+def test_epochs_that_run_again_change_nothing(spark, tmp_path):
+    rows, out = fixtures.analyses(spark, SMALL).cache(), str(tmp_path / "out")
+    for epoch in (0, 0, 1, 2, 2):
+        publish.publish_batch(rows.where(F.col("review_id") % 3 == epoch), out, epoch, buckets=2, every=1)
+    publish.publish_batch(rows.limit(0), out, 3, buckets=2, every=1)
+    got = publish.current(spark.read.parquet(out + "/snapshots")).select("product_id", "review_count", "positive")
+    want = votes.snapshot(fixtures.mentions(spark, SMALL), fixtures.reviews(spark, SMALL)).select("product_id", "review_count", "positive")
+    assert same(got, want)
+
+
+def test_a_batch_reads_no_history_of_reviews(spark, tmp_path):
+    """Epochs of as many new reviews of the same products: what one reads just before a base is written does not grow."""
+    out, sizes = str(tmp_path / "out"), []
+    tag = F.array(F.struct(F.lit("battery").alias("aspect_id"), F.lit("positive").alias("sentiment"), F.lit(0.75).alias("confidence")))
+    for epoch in range(6):
+        batch = spark.range(epoch * 300, epoch * 300 + 300).select((F.col("id") % 7).alias("product_id"), F.col("id").alias("review_id"), (F.col("id") % 5).alias("helpful_votes"), tag.alias("tags"))
+        _, folders = publish._sources(spark, out, epoch)
+        publish.publish_batch(batch, out, epoch, buckets=2, every=2)
+        sizes.append(sum(f.stat().st_size for d in folders for f in Path(d).rglob("*.parquet")))
+    assert 0 < sizes[1] < sizes[3] and sizes[5] <= 1.1 * sizes[3]
+    last = publish.current(spark.read.parquet(out + "/snapshots"))
+    assert {(r.review_count, r.positive) for r in last.collect()} == {(258, 258), (257, 257)}
 
 
 def test_ttl_slides(spark, tmp_path):
