@@ -148,15 +148,14 @@ CLAIMS = "struct<claims:array<struct<text:string,citations:array<struct<review_i
 def answers(rows: DataFrame, contexts: DataFrame, key: str, output: str = "output") -> DataFrame:
     """key, status (answered, insufficient_evidence, invalid) and claims of generated answers.
 
-    contexts: key, review_id, text of what was retrieved (at most eight for a question). Every claim needs text
-    and citations whose quotes stand in their retrieved review; an answer with one that does not is invalid.
+    contexts: key, review_id, text of what was retrieved (at most eight for a question); a review may come again, with
+    the same text or another. Every claim needs text and citations whose quotes stand in their retrieved review; an
+    answer with one that does not is invalid.
     """
-    found = contexts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("review_id", "text"))).alias("found"))
+    found = contexts.groupBy(key).agg(F.collect_set(F.struct("review_id", "text")).alias("found"))
     claims = F.from_json(output, CLAIMS)["claims"]
     both = rows.select(key, claims.alias("claims")).join(found, key, "left")
-    empty = F.create_map().cast("map<string,string>")
-    text_of = lambda c: F.try_element_at(F.coalesce("found", empty), c["review_id"])
-    quoted = lambda c: F.coalesce((F.trim(c["quote"]) != "") & F.contains(text_of(c), c["quote"]), F.lit(False))
+    quoted = lambda c: F.coalesce((F.trim(c["quote"]) != "") & F.exists("found", lambda f: (f["review_id"] == c["review_id"]) & F.contains(f["text"], c["quote"])), F.lit(False))
     sound = F.forall("claims", lambda c: F.coalesce((F.trim(c["text"]) != "") & F.size(c["citations"]).between(1, 8), F.lit(False)) & F.forall(c["citations"], quoted))
     valid = F.coalesce((F.size("claims") <= 6) & sound, F.lit(False))
     status = F.when(F.col("found").isNull(), "insufficient_evidence").when(~valid, "invalid").when(F.size("claims") > 0, "answered").otherwise("insufficient_evidence")

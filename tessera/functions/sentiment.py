@@ -1,14 +1,18 @@
 """Aspect extraction, clause context and lexicon sentiment of a review, and their composition.
 
 The lexicon works in the JVM. Extraction and clauses need look-around and overlap rules on code
-points; they are Arrow UDFs over whole batches, with one compiled pattern per alias.
+points; they are Arrow UDFs over whole batches. Extraction reads a text once, by one automaton of all aliases.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,27 +32,78 @@ def longest_first(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans kept greedily by length, none overlapping an earlier choice; in order of place."""
     kept: list[tuple[int, int]] = []
     for a, b in sorted(set(found), key=lambda s: (s[0] - s[1], s)):
-        if all(b <= c or a >= d for c, d in kept):
-            kept.append((a, b))
-    return sorted(kept)
+        at = bisect.bisect_left(kept, (a, b))  # the spans kept so far do not overlap, so only its neighbours can
+        if (not at or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+            kept.insert(at, (a, b))
+    return kept
 
 
-def extract_aspects(x: Column, terms: tuple[str, ...] | None = None, confidence: float = 0.80) -> Column:
-    """Aliases as whole words, whatever their case; where they overlap the longest stays."""
-    words = terms or tuple(alias for a in ontology.ASPECTS for alias in a[2])
+class Aliases:
+    """All places of some phrases as whole words, whatever their case, by one Aho-Corasick automaton.
 
-    @F.pandas_udf(SPAN)
-    def run(texts: pd.Series) -> pd.Series:
-        patterns = [(w, re.compile(rf"(?<!\w){re.escape(w)}(?!\w)", re.IGNORECASE)) for w in words]
+    Letters are folded one by one, so that places are those of the text: to the letter of a phrase that a pattern
+    without regard to case would match with them.
+    """
+
+    def __init__(self, phrases: tuple[str, ...]) -> None:
+        import ahocorasick
+
+        letters = sorted({c.lower() if len(c.lower()) == 1 else c for p in phrases for c in p})
+        cased = [x for x in map(chr, range(0x1FFFF)) if x.lower() != x or x.upper() != x]
+        self.folds: dict[int, str] = {}
+        for c in letters:
+            same = re.compile(re.escape(c), re.IGNORECASE).fullmatch
+            self.folds |= {ord(x): c for x in cased if ord(x) not in self.folds and same(x)}
+        self.automaton = ahocorasick.Automaton()
+        for p in phrases:
+            if p:
+                self.automaton.add_word(self.fold(p), len(p))
+        self.automaton.make_automaton()
+
+    def fold(self, text: str) -> str:
+        return text.lower() if text.isascii() else text.translate(self.folds)
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Spans of each phrase, from left to right without overlap of a phrase with itself."""
+        found, ends = [], {}
+        n, low = len(text), self.fold(text)
+        for last, size in self.automaton.iter(low):
+            a, b = last + 1 - size, last + 1
+            if (a and (text[a - 1].isalnum() or text[a - 1] == "_")) or (b < n and (text[b].isalnum() or text[b] == "_")):
+                continue
+            phrase = low[a:b]
+            if a >= ends.get(phrase, 0):
+                ends[phrase] = b
+                found.append((a, b))
+        return found
 
-        def one(text: str | None) -> list[dict] | None:
-            if text is None:
-                return None
-            low = text.lower()
-            found = [m.span() for w, p in patterns if w in low for m in p.finditer(text)]
-            return [{"raw_aspect": text[a:b], "start_char": a, "end_char": b, "confidence": confidence} for a, b in longest_first(found)]
 
-        return texts.map(one)
+@functools.cache
+def aliases(phrases: tuple[str, ...]) -> Aliases:
+    """Built once in a worker's life."""
+    return Aliases(phrases)
+
+
+def extract_aspects(x: Column, terms: tuple[str, ...] | None = None, confidence: float = 0.80) -> Column:
+    """Aliases as whole words, whatever their case; where they overlap the longest stays."""
+    words = terms or tuple(alias for a in ontology.ASPECTS for alias in a[2])
+    span = pa.struct([("raw_aspect", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("confidence", pa.float64())])
+
+    @F.arrow_udf(SPAN)
+    def run(texts: pa.Array) -> pa.Array:
+        known = aliases(words)
+        raw, start, end, sizes = [], [], [], []
+        for text in texts.to_pylist():
+            found = known.places(text) if text is not None else []
+            kept = longest_first(found) if len(found) > 1 else found
+            sizes.append(len(kept))
+            for a, b in kept:
+                raw.append(text[a:b])
+                start.append(a)
+                end.append(b)
+        columns = [pa.array(raw, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(raw), confidence))]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(span)), mask=texts.is_null())
 
     return run(x)
 

@@ -52,9 +52,14 @@ def stale_writes(batch: DataFrame, current: DataFrame, key: str = "run_id") -> D
     return batch.join(last, key, "left").where(~F.col("expected_previous_id").eqNullSafe(F.col("current_id")))
 
 
-def new_versions(saved: DataFrame, offered: DataFrame, key: tuple[str, ...] = ("review_id", "pipeline_version")) -> DataFrame:
-    """Offered rows whose (review, version) is not saved yet, one each; saved rows never change."""
-    return offered.dropDuplicates(list(key)).join(saved.select(*key), list(key), "left_anti")
+def new_versions(saved: DataFrame, offered: DataFrame, key: tuple[str, ...] = ("review_id", "pipeline_version"), order: Column | None = None) -> DataFrame:
+    """Offered rows whose (review, version) is not saved yet, one each; saved rows never change.
+
+    Of several differing offers the first by `order` is taken, else the one whose JSON is least.
+    """
+    row = F.struct(*offered.columns)
+    first = offered.groupBy(*key).agg(F.min_by(row, F.to_json(row) if order is None else order).alias("r")).select("r.*")
+    return first.join(saved.select(*key), list(key), "left_anti")
 
 
 def data_revisions(products: DataFrame, added: DataFrame) -> DataFrame:

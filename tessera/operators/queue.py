@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 LEASE_SECONDS = 300
 MOST_ATTEMPTS = 3
-MOST_WORKERS = 1000
 
 
 def eligible(jobs: DataFrame, now: Column, version: str) -> DataFrame:
@@ -23,13 +22,15 @@ def eligible(jobs: DataFrame, now: Column, version: str) -> DataFrame:
 def claims(jobs: DataFrame, workers: DataFrame, now: Column, version: str, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """job_id, worker_id, attempt, lease_expires_at: the oldest eligible jobs, one for each worker that asks.
 
-    Workers, at most `MOST_WORKERS` at once, are served in the order of their ids and skip what others hold.
+    Workers are served in the order of their ids and skip what others hold. They are counted first, so that only as many
+    jobs as there are workers are ranked, whatever waits.
     """
-    order = Window.orderBy("created_at", "job_id")
-    head = eligible(jobs, now, version).orderBy("created_at", "job_id").limit(MOST_WORKERS).withColumn("nth", F.row_number().over(order))
-    asks = workers.select("worker_id").distinct().orderBy("worker_id").limit(MOST_WORKERS).withColumn("nth", F.row_number().over(Window.orderBy("worker_id")))
+    asks = workers.select("worker_id").distinct()
+    head = eligible(jobs, now, version).orderBy("created_at", "job_id").limit(asks.count())
+    head = head.withColumn("nth", F.row_number().over(Window.orderBy("created_at", "job_id")))
+    asks = asks.withColumn("nth", F.row_number().over(Window.orderBy("worker_id")))
     lease = now + F.make_dt_interval(secs=F.lit(float(lease_seconds)))
-    return head.join(F.broadcast(asks), "nth").select("job_id", "worker_id", (F.col("attempt") + 1).alias("attempt"), lease.alias("lease_expires_at"))
+    return head.join(asks, "nth").select("job_id", "worker_id", (F.col("attempt") + 1).alias("attempt"), lease.alias("lease_expires_at"))
 
 
 def item_states(events: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
