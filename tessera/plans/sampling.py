@@ -1,11 +1,15 @@
-"""Queries of the sampled review stream: parts as product metadata, events as reviews."""
+"""Queries of the sampled review stream and of numbered lines: parts as product metadata, events as reviews."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import review_stream, sampling
+from ..session import shared_folder
+from ..sources import numbered
 from . import fixtures as fx
 from .registry import query
 
@@ -91,3 +95,30 @@ select 'selected_products', count(*) from chosen union all select 'selected_prod
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One counter for each reason that a row of the metadata or of the stream is left out, and of what is chosen."""
     return review_stream.sample(_metadata(spark, sf_dir), _reviews(spark, sf_dir), PRODUCTS, CAP, POOL)[1]
+
+
+_LINES_SQL = """with j as (select event_id, user_id, event_type, case when event_id % 13 = 0 then '{broken é ' || user_id else '{"e":' || event_id || ',"u":' || user_id || ',"t":"' || event_type || '"}' end as value from events),
+l as (select *, row_number() over (order by event_id) as line, sum(octet_length(encode(value)) + 1) over (order by event_id) as stop from j)"""
+BYTES = 200_000
+BATCH = 250
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """Events as JSON lines in eight files, in order; some are broken."""
+    i = F.col("event_id")
+    value = F.when(i % 13 == 0, F.concat(F.lit("{broken é "), "user_id")).otherwise(F.concat(F.lit('{"e":'), i, F.lit(',"u":'), "user_id", F.lit(',"t":"'), "event_type", F.lit('"}')))
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    fx.table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(value.alias("value")).write.text(path)
+    return path
+
+
+@query(f"{_LINES_SQL} select line, case when event_id % 13 <> 0 then value end as value, event_id % 13 = 0 as malformed from l where stop <= {BYTES}")
+def bounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within a budget of bytes, with their ordinals over all files."""
+    return numbered.bounded(spark, _written(spark, sf_dir), max_bytes=BYTES)[0]
+
+
+@query(f"{_LINES_SQL} select line, ((row_number() over (order by line) - 1) // {BATCH})::bigint as batch, value from l where event_type = 'click' and event_id % 13 <> 0")
+def line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks in batches, in the order of their lines."""
+    return numbered.in_batches(spark, _written(spark, sf_dir), F.get_json_object("value", "$.t") == "click", BATCH)

@@ -2,8 +2,8 @@
 
 `jsonl_bounded` reads one object from its start until the row limit, the byte limit or its end, and says
 which in `stop_reason`. `jsonl_batches` is a stream whose offset is the byte cursor, so a checkpoint resumes
-it; it refuses a source that has changed. A single object is a single partition by nature: its cursor
-is sequential. Plain `spark.read.text` is the way to read whole collections.
+it; it refuses a source that has changed. Both read one object in order, as a budget of compressed bytes and a byte cursor
+ask for; `numbered` reads large files in splits, with the same ordinals and budgets.
 """
 
 from __future__ import annotations
