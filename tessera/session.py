@@ -44,10 +44,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` in the shared checkpoint folder and drop its lineage; its shuffle files go at once.
+
+    Spark removes the shuffle files of a plan that was made under `CLEANUP` when its action ends. The plan is made anew
+    for that, so that `df` itself may be used again.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        once = df.select("*")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return once.checkpoint(eager=True)
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
