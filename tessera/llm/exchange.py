@@ -27,14 +27,6 @@ LEAST = 64
 U = np.uint64
 
 
-RELEASE_BYTES = 1 << 27
-
-
-def large(volume: int) -> bool:
-    """Whether shuffle files of so much text are worth a wait for their release (see `runtime.cut`)."""
-    return volume >= RELEASE_BYTES
-
-
 def plan_blocks(volume: int) -> tuple[int, int]:
     """(blocks, ranges) for the volume of text."""
     return max(LEAST, -(-volume // BLOCK_BYTES)), max(LEAST, -(-volume // (BYTES_PER_HASH * HASHES_PER_RANGE)))

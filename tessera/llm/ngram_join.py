@@ -251,7 +251,7 @@ def _around(centres: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return _meetings(centres.join(_side(rows, "y"), "token"), percent)
 
 
-def links(posted: DataFrame, percent: int, release: bool = False) -> DataFrame:
+def links(posted: DataFrame, percent: int) -> DataFrame:
     """(x, y): verified pairs that connect all representatives that the whole join connects.
 
     Stars first, a few per list, each round around other members of the list's most common
@@ -260,14 +260,14 @@ def links(posted: DataFrame, percent: int, release: bool = False) -> DataFrame:
     rows = _lists(posted)
     everyone = F.lit(True)
     first = rows.groupBy("token").agg(_centre(everyone, -F.col("shared")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    found = cut(_verified(_counted(_around(first, rows, percent)), posted, percent), release)
+    found = cut(_verified(_counted(_around(first, rows, percent)), posted, percent))
     for r in range(ROUNDS):
         placed, common = _placed(rows, found)
         open_rows = placed.join(common, "token")
         inner = F.col("component") == F.col("main")
         stars = open_rows.groupBy("token").agg(F.array_distinct(F.array(*(_centre(inner, F.xxhash64("doc_id", F.lit(r * CENTRES + i))) for i in range(CENTRES)))).alias("c"))
         met = _around(stars.select("token", F.explode("c").alias("c")), open_rows.where(~inner), percent)
-        more = cut(_verified(_counted(met), posted, percent), release)
+        more = cut(_verified(_counted(met), posted, percent))
         found = found.unionByName(more)
     placed, common = _placed(rows, found)
     tokens = posted.select("doc_id", F.col("prefix.token").alias("tokens"))
@@ -292,11 +292,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = cut(classes)
     volume = text_volume(docs, text)
-    posted = cut(postings(docs, reps.where("rep is not null").select(F.col("rep").alias("doc_id")), k, percent, volume, doc_id, text), X.large(volume))
+    posted = cut(postings(docs, reps.where("rep is not null").select(F.col("rep").alias("doc_id")), k, percent, volume, doc_id, text))
     # Rows that repeat an id are one node: it ties their classes together.
     several = cut(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("z")).where("a <> z").select("doc_id"))
     ties = signed.where("n_shingles > 0").join(small(several), "doc_id").select("doc_id", *key).distinct().join(reps, key).where("doc_id <> rep")
-    edges = links(posted, percent, X.large(volume)).select("x", "y").unionByName(ties.select(F.col("rep").alias("x"), F.col("doc_id").alias("y")))
+    edges = links(posted, percent).select("x", "y").unionByName(ties.select(F.col("rep").alias("x"), F.col("doc_id").alias("y")))
     joined = components(edges, "x", "y")
     placed = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     own = joined.withColumnRenamed("node", "doc_id").join(several, "doc_id").select("doc_id", "component")  # for their rows without words

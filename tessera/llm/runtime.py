@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut  # noqa: F401  the operators take it from here
+
 # Fixed value: the separators of `[^\x20\x09-\x0D]+` words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; a private folder only in local mode, where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
-
-
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and drop its lineage.
-
-    With `release`, wait for the shuffle files of the finished plan to go: Spark removes them once the
-    handles on both sides are collected, which takes a few turns of its cleaner.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    del df
-    for _ in range(4 if release else 0):
-        gc.collect()
-        done.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return done
-
-
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """`df`, to be broadcast if it is counted to be small; else joined as Spark sees fit. Count a cut frame."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 5, doc_id: str = "doc_
     """
     volume = text_volume(docs, text)
     blocks, _ = X.plan_blocks(volume)
-    spans = removed_spans(cut(path_occurrences(docs, volume, k, m, doc_id, text), X.large(volume)), k)
+    spans = removed_spans(cut(path_occurrences(docs, volume, k, m, doc_id, text)), k)
 
     def cover(group: pa.Table, found: pa.Table) -> pa.Table:
         group = X.in_order(group)
