@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest(rows: DataFrame, key: str, time: str = "created_at", tie: str = "id") -> DataFrame:
     """The newest record of each key (by time, then id): a partial aggregate, so long histories don't meet."""
@@ -52,6 +54,28 @@ def stale_writes(batch: DataFrame, current: DataFrame, key: str = "run_id") -> D
     return batch.join(last, key, "left").where(~F.col("expected_previous_id").eqNullSafe(F.col("current_id")))
 
 
+def chained_writes(batch: DataFrame, current: DataFrame, key: str = "run_id") -> DataFrame:
+    """The batch with `accepted`: each write of a key is compared with what the ones before it have left.
+
+    batch: key, id, expected_previous_id, at (order within the key; unique there); current: key, id (null or no row: nothing
+    stored). Ids are unique and never null. A write is the successor of the one that it expects if it is the first after that one to do
+    so; accepted is what can be reached from the stored record. Successors are found by a partial aggregate and a join on ids, and
+    reach by pointers that double their length each round, so a long chain or a hot key is no group in one task.
+    """
+    start = batch.select(key).distinct().join(current.select(key, F.col("id").alias("stored")), key, "left")
+    writes = cut(batch.select(key, "id", F.col("expected_previous_id").alias("expected"), "at"))
+    before = writes.select(key, F.col("id").alias("expected"), F.col("at").alias("since"))
+    first = F.min(F.struct("at", "id"))
+    after = writes.join(before, [key, "expected"]).where("at > since").groupBy(key, "expected").agg(first.alias("w")).select(key, F.col("w.id").alias("id"), F.col("expected").alias("to"), F.lit(False).alias("root"))
+    roots = writes.join(start, key).where(F.col("expected").eqNullSafe(F.col("stored"))).groupBy(key).agg(first.alias("w")).select(key, F.col("w.id").alias("id"), F.lit(None).cast(writes.schema["id"].dataType).alias("to"), F.lit(True).alias("root"))
+    # A write that is first for the stored record is a root, whatever else it could follow.
+    links = cut(roots.unionByName(after.join(roots.select(key, "id"), [key, "id"], "left_anti")))
+    while links.where("to is not null").limit(1).count():
+        further = links.select(key, F.col("id").alias("to"), F.col("to").alias("next"), F.col("root").alias("at_root"))
+        links = cut(links.join(further, [key, "to"], "left").select(key, "id", F.col("next").alias("to"), (F.col("root") | F.coalesce("at_root", F.lit(False))).alias("root")))
+    return batch.join(links.where("root").select(key, "id", F.lit(True).alias("accepted")), [key, "id"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
 def new_versions(saved: DataFrame, offered: DataFrame, key: tuple[str, ...] = ("review_id", "pipeline_version"), order: Column | None = None) -> DataFrame:
     """Offered rows whose (review, version) is not saved yet, one each; saved rows never change.
 

@@ -368,6 +368,24 @@ def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", validation.idempotency_key(key).alias("key_ok"), validation.inline_reviews(texts).alias("texts_ok"))
 
 
+_WRITES_SQL = """x as (select user_id as run_id, event_id as id, case when floor(value)::bigint % 2 = 1 then lag(event_id, 2) over u else lag(event_id, 1) over u end as expected from events window u as (partition by user_id order by event_id))"""
+
+
+@query(
+    f"""with recursive {_WRITES_SQL},
+c as (select run_id, min(id) as id from x where expected is null group by run_id union all select c.run_id, (select min(n.id) from x n where n.run_id = c.run_id and n.expected = c.id and n.id > c.id) as id from c where c.id is not null)
+select run_id, id, expected as expected_previous_id, id in (select id from c where id is not null) as accepted from x"""
+)
+def accepted_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as writes that expect the one before, or the one before that; some are too late."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    odd = F.floor("value").cast("long") % 2 == 1
+    expected = F.when(odd, F.lag("event_id", 2).over(w)).otherwise(F.lag("event_id", 1).over(w))
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), F.col("event_id").alias("at"), expected.alias("expected_previous_id"))
+    stored = rows.limit(0).select("run_id", "id")
+    return history.chained_writes(rows, stored).drop("at")
+
+
 _PUBLISHED = ("product_id", "aspect_id", "review_count", "score", "rank", "aggregate_tag")
 
 
