@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import product_text_key
+from .ranks import bag_join, numbered
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -52,5 +55,14 @@ def ordered_unique(ids: Column) -> Column:
 
 
 def nth_of_text(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """k-th row of each text: joined on (text, nth), the k-th request reuses the k-th earlier preview."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(text).orderBy(*order)))
+    """k-th row of each text, which is told apart by its SHA-256; a text that many rows share is no group in one task."""
+    return numbered(rows.withColumn("_text", F.sha2(text, 256)), order, ["_text"]).drop("_text")
+
+
+def reused(requests: DataFrame, previews: DataFrame, text: str = "text", asked: Sequence[str] = ("at",), made: Sequence[str] = ("created_at",)) -> DataFrame:
+    """Each request with the preview that it reuses, if any: the k-th of a text takes the k-th preview of that text.
+
+    previews: only those that may be reused (unexpired, of the same product and version). Their columns besides the text follow.
+    """
+    key = lambda rows: rows.withColumn("_text", F.sha2(text, 256))
+    return bag_join(key(requests), key(previews).drop(text), ["_text"], asked, made).drop("_text")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import selected
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     value = F.try_divide(a.cast("double"), b.cast("double"))
@@ -102,10 +106,18 @@ def choose_policy(per_class: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str = "value", *keys: str) -> DataFrame:
-    """Least, median, mean, nearest-rank 95th percentile and most."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
-    v = F.col(value)
-    return rows.groupBy(*keys).agg(F.min(v).alias("least"), F.round(F.median(v), 6).alias("median"), F.round(F.avg(v), 6).alias("mean"), p95.alias("p95"), F.max(v).alias("most"), F.count(v).alias("samples"))
+    """Least, median, mean, nearest-rank 95th percentile and most: exact, and without the values of a key in one task.
+
+    A key whose values are all null has 0 samples and nulls. Ranks are those of the values as doubles.
+    """
+    v, n = F.col(value), F.col("n")
+    plain = rows.groupBy(*keys).agg(F.min(v).alias("least"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"), F.count(v).alias("samples"))
+    wanted = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95": F.floor((n * 95 + 99) / 100)}
+    own = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    found = selected(rows, value, keys, wanted).groupBy(*own).agg(F.round((pick("low") + pick("high")) / 2, 6).alias("median"), pick("p95").cast(rows.schema[value].dataType).alias("p95"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)), F.lit(True))
+    return plain.join(found, same, "left").select(*keys, "least", "median", "mean", "p95", "most", "samples")
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ontology
 from ..functions.text import alias_key, terms
+from ..session import cut
 
 # Words of a question that say nothing.
 STOP_WORDS = tuple(
@@ -52,26 +55,63 @@ def cited(answers: DataFrame, contexts: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("valid", F.coalesce((F.trim("quote") != "") & F.contains("text", "quote"), F.lit(False))).drop("text")
 
 
-MOST_PROTOTYPES = 10_000
+TILE_NUMBERS = 1 << 20  # of vectors in a tile or a block: 8 MB of doubles
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _best_two(key: tuple, queries: pa.Table, prototypes: pa.Table) -> pa.Table:
+    """The two best labels of each query of a block among a tile's prototypes: (id, similarity, label)."""
+    unit = lambda t: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, key[2]))
+    schema = pa.schema([queries.schema.field("id"), pa.field("similarity", pa.float64()), prototypes.schema.field("label")])
+    if not queries.num_rows or not prototypes.num_rows:
+        return schema.empty_table()
+    prototypes = prototypes.sort_by("label")
+    p, q = unit(prototypes), unit(queries)
+    code = prototypes["label"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.diff(code, prepend=-1))  # of each label's prototypes
+    rows, picks, values = [], [], []
+    step = max(1, TILE_NUMBERS // len(p))
+    for at in range(0, len(q), step):
+        best = np.maximum.reduceat(q[at : at + step] @ p.T, starts, axis=1)
+        two = np.argsort(best, axis=1, kind="stable")[:, -2:]  # of equal ones the greater labels
+        rows.append(np.repeat(np.arange(at, at + len(best)), two.shape[1]))
+        picks.append(starts[two].ravel())
+        values.append(np.take_along_axis(best, two, axis=1).ravel())
+    rows, picks = np.concatenate(rows), np.concatenate(picks)
+    return pa.Table.from_arrays([queries["id"].take(rows), pa.array(np.concatenate(values)), prototypes["label"].take(picks)], schema=schema)
 
 
 def nearest(queries: DataFrame, prototypes: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """queries: id, vector; prototypes: label, vector, a row per alias: at most `MOST_PROTOTYPES`, which is checked.
+    """queries: id, vector; prototypes: label, vector, a row per alias, as many as there are. One row per distinct id.
 
-    The best label by cosine; none within the tolerance of a second label or below the threshold.
+    The best label by cosine; none within the tolerance of a second label or below the threshold. Every query meets every
+    prototype of its number of components, in blocks of queries and tiles of prototypes that hold TILE_NUMBERS numbers each: a
+    vector is copied once per block of the other side, a task holds one block, one tile and a strip of their product, and gives the best
+    two labels, which merge over the tiles. Vectors that are null, zero, or hold null or non-finite components are near nothing: such
+    queries are unknown, such prototypes and null labels are left out. Repeated rows count once.
     """
-    if prototypes.limit(MOST_PROTOTYPES + 1).count() > MOST_PROTOTYPES:
-        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes")
-    near = queries.crossJoin(F.broadcast(prototypes.select("label", F.col("vector").alias("_p"))))  # of checked size
-    near = near.select("id", "label", cosine(F.col("vector"), F.col("_p")).alias("similarity")).groupBy("id", "label").agg(F.max("similarity").alias("similarity"))
-    best = near.groupBy("id").agg(F.max(F.struct("similarity", F.col("label"))).alias("top"), F.sort_array(F.collect_list("similarity"), asc=False).alias("all"))
-    tie = F.coalesce((F.get("all", F.lit(0)) - F.get("all", F.lit(1))) <= tolerance, F.lit(False))
-    known = ~tie & (F.col("top.similarity") >= threshold)
+    x = F.col("vector").cast("array<double>")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    usable = F.coalesce(F.forall(x, finite) & F.exists(x, lambda v: v != 0), F.lit(False))
+    shape = lambda rows, name: rows.select(name, F.when(usable, x).alias("vector")).dropDuplicates()
+    asked, p = cut(shape(queries, "id")), cut(shape(prototypes.where("label is not null"), "label").where("vector is not null"))
+    q = asked.where("vector is not null")
+    size = lambda rows: rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    (n, wide), (m, wide_p) = size(q), size(p)
+    per = max(1, TILE_NUMBERS // max(wide, wide_p))
+    blocks, tiles = max(-(-n // per), min(n, q.sparkSession.sparkContext.defaultParallelism), 1), max(-(-m // per), 1)
+    part = lambda rows, name, own, count, other, copies: rows.select(
+        name, "vector", F.size("vector").alias("dims"), F.pmod(F.xxhash64(name, "vector"), F.lit(count)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)
+    )
+    keys = ["block", "tile", "dims"]
+    left, right = part(q, "id", "block", blocks, "tile", tiles).groupBy(*keys), part(p, "label", "tile", tiles, "block", blocks).groupBy(*keys)
+    kinds = [rows.schema[c].dataType.simpleString() for rows, c in ((queries, "id"), (prototypes, "label"))]
+    found = left.cogroup(right).applyInArrow(_best_two, f"id {kinds[0]}, similarity double, label {kinds[1]}")
+    entries = found.select("id", F.struct("similarity", "label").alias("e"))
+    every = entries.unionByName(asked.select("id", F.lit(None).cast(entries.schema["e"].dataType).alias("e")))
+    best = every.groupBy("id").agg(F.sort_array(F.collect_list("e"), asc=False).alias("all"))  # two a tile, as nulls are left out
+    best = best.withColumn("top", F.get("all", F.lit(0)))
+    second = F.get(F.filter("all", lambda e: e["label"] != F.col("top.label")), F.lit(0))["similarity"]
+    known = ~F.coalesce(F.col("top.similarity") - second <= tolerance, F.lit(False)) & (F.col("top.similarity") >= threshold)
     return best.select("id", F.when(known, F.col("top.label")).alias("label"), F.round("top.similarity", 6).alias("similarity"), F.when(known, "semantic").otherwise("unknown").alias("method"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import product_text_key
+from .ranks import numbered
 from .votes import SUPPORT
 
 MOST_PAGE_SIZE, MOST_TOP_K = 100, 50
@@ -20,8 +21,7 @@ def page(rows: DataFrame, order: list[Column | str], number: int = 1, size: int
 
 def pages(rows: DataFrame, key: list[str], order: list[Column | str], size: int = 20) -> DataFrame:
     """Rows with the page that they are on within their key."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("page", F.floor((place - 1) / size).cast("int") + 1)
+    return numbered(rows, order, key, "_place").withColumn("page", F.floor((F.col("_place") - 1) / size).cast("int") + 1).drop("_place")
 
 
 def checked_top_k(top_k: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import catalog, dedup, history, queue, reports, serving, validation
+from ..operators import catalog, dedup, history, intervals, queue, ranks, reports, serving, validation
 from . import fixtures as fx
 from . import texts
 from .registry import query
@@ -127,10 +127,10 @@ def forward_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.forward_filled(rows, ["v"], "o_orderkey", ["o_custkey"])
 
 
-@query("select event_id as id, row_number() over (order by ts desc, event_id desc) as nth from events where user_id % 20 = 1")
+@query("select event_id as id, row_number() over (order by ts desc, event_id desc) as nth from events")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).where("user_id % 20 = 1").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return history.newest_first(rows).select("id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("nth"))
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return ranks.numbered(rows, [F.desc("created_at"), F.desc("id")]).select("id", "nth")
 
 
 @query("select event_id as id, o_custkey as product_id, o_orderkey as review_id from events join orders on o_orderkey = event_id where event_id % 5 <> 0 and event_type = 'click'")
@@ -195,6 +195,31 @@ def nth_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.nth_of_text(fx.table(spark, sf_dir, "conversations").where("text is not null"), "text", ["conv_id", "turn"]).select("conv_id", "turn", "nth")
 
 
+@query(
+    "with r as (select conv_id, turn, text, conv_id % 2 = 1 as asks, row_number() over (partition by text, conv_id % 2 order by conv_id, turn) as nth from conversations where text is not null) "
+    "select a.conv_id, a.turn, p.conv_id as preview_conv, p.turn as preview_turn from r a left join r p on not p.asks and a.text = p.text and a.nth = p.nth where a.asks"
+)
+def reused_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of odd conversations ask for previews, those of even ones are the previews there are."""
+    turns = fx.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    previews = turns.where("conv_id % 2 = 0").select(F.col("conv_id").alias("preview_conv"), F.col("turn").alias("preview_turn"), "text")
+    found = dedup.reused(turns.where("conv_id % 2 = 1"), previews, "text", ["conv_id", "turn"], ["preview_conv", "preview_turn"])
+    return found.select("conv_id", "turn", "preview_conv", "preview_turn")
+
+
+@query(
+    "with d as (select o_orderkey as id, o_custkey, datediff('day', timestamp '1970-01-01', o_orderdate) as a, datediff('day', timestamp '1970-01-01', o_orderdate) + case when o_orderkey % 50 = 0 then 700 else 5 + o_orderkey % 40 end as b from orders) "
+    "select x.id, y.id as other, greatest(x.a, y.a) as since, least(x.b, y.b) as until from d x join d y on x.o_custkey = y.o_custkey and x.id < y.id and x.a < y.b and x.b > y.a"
+)
+def orders_under_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer that were under way at the same time, some of them for long."""
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    took = F.when(F.col("o_orderkey") % 50 == 0, 700).otherwise(5 + F.col("o_orderkey") % 40).cast("int")
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", day.alias("start"), (day + took).alias("end"))
+    pairs = intervals.overlapping_pairs(rows, rows, ["o_custkey"]).where("x.id < y.id")
+    return pairs.select("x.id", F.col("y.id").alias("other"), F.greatest("x.start", "y.start").cast("long").alias("since"), F.least("x.end", "y.end").cast("long").alias("until"))
+
+
 @query("select o_orderkey, o_custkey, c_name from orders join customer on o_custkey = c_custkey where c_custkey % 3 <> 0")
 def reviews_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = fx.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
