@@ -105,12 +105,12 @@ def test_names():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", ["product_aspect_ranking", "removal_scenarios", "quality_queue", "dedup_manifest", "draft_overlay", "snapshot_digest", "analyze_reviews", "lease_claims", "preview_outcomes", "import_json", "checkpoint_files"])
+@pytest.mark.parametrize("name", ["product_aspect_ranking", "removal_scenarios", "quality_queue", "dedup_manifest", "draft_overlay", "snapshot_digest", "analyze_reviews", "lease_claims", "preview_outcomes", "import_json", "checkpoint_files", "reused_previews", "orders_under_way", "newest_first", "latency_summary", "nearest_aspect"])
 def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "customer", "supplier", "documents", "events", "conversations"):
+    for t in ("lineitem", "orders", "customer", "supplier", "documents", "events", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     got = driver.queries()[name](spark, SMALL)
     result = con.execute(driver.oracle_sql()[name])
