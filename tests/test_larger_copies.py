@@ -46,3 +46,16 @@ def test_imports_without_items(spark, tmp_path):
     (tmp_path / "once.parquet").rename(tmp_path / "customer.parquet")
     got, want = as_sql(spark, "saved_imports", folder, ("orders", "customer"))
     assert got == want and sum(r.endswith(", 0, None)") for r in got) >= 10
+
+
+@pytest.mark.parametrize("name", ["shown_reviews", "extract_aspects", "error_rows", "compare_products"])
+def test_mentions_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch, name):
+    """A task's rows do not grow with the table: no more than a hundredth of these rows, each side of the join."""
+    from tessera import session
+
+    monkeypatch.setattr(session, "ROWS_OF_TASK", 600)
+    folder = copies(tmp_path, 1, {"orders": {"o_orderkey": 0}, "lineitem": {"l_orderkey": 0}})
+    plan = driver.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan and "], 100" in plan
+    got, want = as_sql(spark, name, folder, ("orders", "lineitem"))
+    assert got == want
