@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranks import MOST_BROADCAST
+
 ROWS_OF_BLOCK = 4096
+ROWS_OF_KEY = 256
 
 
 def _level(length: Column) -> Column:
@@ -50,11 +54,20 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, key: list[str], start: str = "
     """Pairs (x: row of a, y: row of b) of one key with x.start < y.end and x.end > y.start; each pair once.
 
     start and end cast to long (dates: pass day numbers) and are half open; empty, reversed and null intervals overlap nothing, and null
-    keys match nothing. Cells have widths of powers of two: an interval stands in the one or two cells of the level of its own
+    keys match nothing. A key with ROWS_OF_KEY rows at most, both sides counted, meets as it is. Those with more meet by cells, which have widths of powers of two: an interval stands in the one or two cells of the level of its own
     length, and asks at each level that the other side has and that is not below its own, so a long interval is
     two rows, not one for each short cell it covers. A cell with many standing rows is split into blocks of ROWS_OF_BLOCK by a hash
     of the row, which every asking row visits: a hot key is as many tasks as it has blocks. Rows equal in all columns stay in one block.
     """
     names = [f"_k{i}" for i in range(len(key))]
     x, y = _sided(a, key, start, end, "x"), _sided(b, key, start, end, "y")
-    return _pairs(x, y, names, "x", "y", False).unionByName(_pairs(y, x, names, "y", "x", True))
+    if not key:
+        return _pairs(x, y, names, "x", "y", False).unionByName(_pairs(y, x, names, "y", "x", True))
+    meet = lambda p, q: p.select(*names, "x").join(q.select(*names, "y"), names).where((F.col(f"x.{start}") < F.col(f"y.{end}")) & (F.col(f"x.{end}") > F.col(f"y.{start}"))).select("x", "y")
+    crowded = cut(x.select(*names).unionByName(y.select(*names)).groupBy(*names).agg(F.count("*").alias("rows")).where(F.col("rows") > ROWS_OF_KEY).select(*names))
+    keys = crowded.limit(MOST_BROADCAST + 1).count()
+    if not keys:
+        return meet(x, y)
+    crowded = F.broadcast(crowded) if keys <= MOST_BROADCAST else crowded  # of counted size
+    few, many = ([rows.join(crowded, names, how) for rows in (x, y)] for how in ("left_anti", "left_semi"))
+    return meet(*few).unionByName(_pairs(*many, names, "x", "y", False)).unionByName(_pairs(*many[::-1], names, "y", "x", True))
