@@ -11,7 +11,6 @@ import functools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,34 +125,55 @@ def merge_windows(x: Column, candidates: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("span outside the source review"))).otherwise(F.array_sort(F.aggregate(keyed, empty, step)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("context", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
-def clause_context(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+CLAUSE = pa.struct([("context", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32())])
+# What ends a clause, and the titles whose full stop does not.
+BORDER = re.compile(r"\b(?:but|however|although|while)\b|[.!?]+(?=\s|$)", re.IGNORECASE)
+TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr)\.$", re.IGNORECASE)
+
+
+def _clauses(text: str) -> list[tuple[int, int]]:
+    """Where the clauses of a text are, the last one included."""
+    out, low = [], 0
+    for m in BORDER.finditer(text):
+        if m.group()[0] == "." and TITLE.search(text, max(0, m.end() - 8), m.end()):
+            continue
+        out.append((low, m.start()))
+        low = m.end()
+    return [*out, (low, len(text))]
+
+
+@F.arrow_udf(T.StructType([T.StructField("context", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
+def clause_context(text: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
     """The clause that holds a span, trimmed, with its offsets; the whole text if none does.
 
-    Clauses end at but, however, although and while, and at sentence ends other than after a title.
+    Clauses end at but, however, although and while, and at sentence ends other than after a title. The mentions of a text
+    follow each other, so it is cut into clauses once.
     """
-    # What ends a clause, and the titles whose full stop does not.
-    border = re.compile(r"\b(?:but|however|although|while)\b|[.!?]+(?=\s|$)", re.IGNORECASE)
-    title = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr)\.$", re.IGNORECASE)
-    out = []
-    for t, s, e in zip(text, start, end, strict=True):
-        if t is None or pd.isna(s) or pd.isna(e):
-            out.append((None, None, None))
-            continue
-        chosen, low = (t, 0, len(t)), 0
-        for m in [*border.finditer(t), None]:
-            if m is not None and m.group()[0] == "." and title.search(t, max(0, m.end() - 8), m.end()):
-                continue
-            high = m.start() if m else len(t)
-            if low <= s and e <= high:
-                part = t[low:high]
-                if part.strip():
-                    a = low + len(part) - len(part.lstrip())
-                    chosen = (part.strip(), a, a + len(part.strip()))
-                break
-            low = m.end() if m else high
-        out.append(chosen)
-    return pd.DataFrame(out, columns=["context", "start_char", "end_char"]).astype({"start_char": "Int32", "end_char": "Int32"})
+    contexts, starts, ends = [], [], []
+    last, clauses = None, []
+    for t, s, e in zip(text.to_pylist(), start.to_pylist(), end.to_pylist(), strict=True):
+        if t is None or s is None or e is None:
+            chosen = (None, None, None)
+        else:
+            if t != last:
+                last, clauses = t, _clauses(t)
+            chosen = (t, 0, len(t))
+            for low, high in clauses:
+                if low <= s and e <= high:
+                    part = t[low:high]
+                    if kept := part.strip():
+                        at = low + len(part) - len(part.lstrip())
+                        chosen = (kept, at, at + len(kept))
+                    break
+        contexts.append(chosen[0])
+        starts.append(chosen[1])
+        ends.append(chosen[2])
+    return pa.StructArray.from_arrays([pa.array(contexts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(CLAUSE))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), where the value is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lexicon_sentiment(x: Column) -> Column:
@@ -161,17 +181,22 @@ def lexicon_sentiment(x: Column) -> Column:
     words = lambda w: F.array(*(F.lit(v) for v in w))
     tokens = F.regexp_extract_all(F.lower(x), F.lit("[a-z]+(?:n't)?"), F.lit(0))
 
-    def polarity(token: Column, i: Column) -> Column:
-        before = F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
+    def polarity(t: Column, token: Column, i: Column) -> Column:
+        before = F.slice(t, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
         negated = (i > 0) & F.arrays_overlap(before, words(NEGATIONS))
         good, bad = F.array_contains(words(POSITIVE), token), F.array_contains(words(NEGATIVE), token)
         return F.when(~good & ~bad, 0).when(good != F.coalesce(negated, F.lit(False)), 1).otherwise(-1)
 
-    signs = F.transform(tokens, polarity)
-    pos, neg = F.size(F.filter(signs, lambda v: v == 1)), F.size(F.filter(signs, lambda v: v == -1))
-    label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
-    count = F.when(pos != neg, F.greatest(pos, neg)).otherwise(0)
-    sure = F.when(count > 0, F.least(F.lit(0.99), F.lit(0.60) + F.lit(0.12) * count)).otherwise(F.lit(0.50))
+    def judged(c: Column) -> Column:
+        pos, neg = c["pos"], c["neg"]
+        label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
+        count = F.when(pos != neg, F.greatest(pos, neg)).otherwise(0)
+        return F.struct(label.alias("label"), F.when(count > 0, F.least(F.lit(0.99), F.lit(0.60) + F.lit(0.12) * count)).otherwise(F.lit(0.50)).alias("sure"))
+
+    many = lambda s, v: F.size(F.filter(s, lambda x: x == v))
+    counts = _once(_once(tokens, lambda t: F.transform(t, lambda token, i: polarity(t, token, i))), lambda s: F.struct(many(s, 1).alias("pos"), many(s, -1).alias("neg")))
+    found = _once(counts, judged)
+    label, sure = found["label"], found["sure"]
     spread = F.create_map(*(v for s in ontology.SENTIMENTS for v in (F.lit(s), F.when(label == s, sure).otherwise((1 - sure) / 2))))
     return F.struct(label.alias("label"), F.round(sure, 4).alias("confidence"), spread.alias("probabilities"))
 
