@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import cut
+
 # What a task holds at once: words whose pairs it counts, and rows whose vectors it makes.
 WORDS_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 1000
 LAST_WORD = (1 << 32) - 1
@@ -84,7 +86,8 @@ def _summed(names: list[str], held: list[np.ndarray]) -> pa.RecordBatch:
 
 def common(rows: DataFrame, text: str = "text", most: int = 50_000) -> list[str]:
     """The most frequent grams, `most` of them or all; of equally frequent ones the first by code points."""
-    return [r.gram for r in counts(rows, text).orderBy(F.desc("n"), "gram").limit(most).collect()]
+    first = cut(counts(rows, text).orderBy(F.desc("n"), "gram").limit(most))  # cut: the shuffle files of all grams go at once
+    return [r.gram for r in first.orderBy(F.desc("n"), "gram").collect()]
 
 
 def damped(rows: DataFrame, grams: Sequence[str], text: str = "text", out: str = "damped") -> DataFrame:

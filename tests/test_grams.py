@@ -1,12 +1,16 @@
 """Words, pairs and vectors against Spark's own stages, and how often the baseline reads its texts."""
 
 import unicodedata
+import zlib
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
+from tessera import session
 from tessera.functions import grams, models
+from tessera.plans import models as plans
 
 ODD = (
     "Straße ΣΑΣ İstanbul don't a bc_d __ x1 12 ½½ a½b ²³ été ́́ ́a क्षि a‍b ‌‍ Ⓐⓑ ⅣⅤ a‿b ⁀⁀ 漢字 x😀y 𝒜𝒷 🅐🅑 𝟘𝟙 a­b ab cd 9.5 ٣٤ ①② ㊀㊁ ꙰a",
@@ -61,3 +65,17 @@ def test_the_baseline_reads_its_texts_twice(spark):
     fitted = models.tfidf_baseline(rows, most=500, iterations=5)
     assert read.value == 120
     assert fitted.transform(frame).where("predicted = label").count() == 60
+
+
+def test_a_tasks_texts_do_not_grow_with_the_table(spark, monkeypatch):
+    """A document counts as eight lines; each labelled one is judged once, on its side of the split."""
+    monkeypatch.setattr(session, "ROWS_OF_TASK", 1000)
+    made = []
+    monkeypatch.setattr(plans, "cut", lambda df: made.append(session.cut(df)) or made[-1])
+    folder = "/root/testdata/sf0.01"
+    got = {r.held_out: r.rows for r in driver.queries()["tfidf_accuracy"](spark, folder).collect()}
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    ids = [r.doc_id for r in docs.where("text is not null").join(labels, "doc_id").select("doc_id").collect()]
+    held_out = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids)
+    assert got == {True: held_out, False: len(ids) - held_out}
+    assert [d.rdd.getNumPartitions() for d in made] == [-(-8 * docs.where("text is not null").count() // 1000)] * 2
